@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireline.llm import bpe, hash_tree, host_quality, packing, simhash
+from quireline.llm import bpe, hash_tree, host_quality, packing, pii, secrets, simhash, topk
 
 SHARDS = 8
 
@@ -30,10 +30,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_context")
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard(_documents(spark, sf_dir), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -86,22 +99,57 @@ def _argmin(n: int) -> str:
     return f"(list_position([{draws}], list_min([{draws}])) - 1)::INTEGER"
 
 
+#: CRC-32 of bytes, by the reflected polynomial 0xEDB88320.
+_CRC_TABLE = """
+  SELECT list(c ORDER BY b) AS crcs FROM (
+    SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS c FROM range(256) t(b)
+  )
+"""
+
+
 SHARD_SQL = f"""
-WITH rows AS (
-  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, coalesce(text, '') AS t,
+WITH crc AS ({_CRC_TABLE}), rows AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h,
          {_argmin(SHARDS)} AS shard, {_argmin(SHARDS + 1)} AS grown_shard,
          {_MD5.format(name="part", digits=8)} % {hash_tree.PARTS} AS part
   FROM documents
+), summed AS (
+  SELECT rows.*, xor(4294967295, list_reduce(
+           list_transform(h, lambda x: ('0x' || x)::BIGINT),
+           lambda c, x: xor(c // 256, crcs[xor(c % 256, x) + 1]), 4294967295::BIGINT)) AS text_crc32
+  FROM rows, crc
 )
-SELECT doc_id, size, 'key' AS law, shard, grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, size) - 1 AS slot
-FROM rows
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+FROM summed
 """
 
+TOPK_SQL = """
+WITH rows AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM rows q JOIN rows c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+) WHERE rank <= 10
+"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op8_shard": op8_shard, "op10_packing": op10_packing}
+    return {
+        "op2_quality": op2_quality,
+        "op3_bpe": op3_bpe,
+        "op4_simhash": op4_simhash,
+        "op5_pii": op5_pii,
+        "op6_topk": op6_topk,
+        "op8_shard": op8_shard,
+        "op9_secrets": op9_secrets,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": QUALITY_SQL.format(documents="documents")}
+    return {"op2_quality": QUALITY_SQL.format(documents="documents"), "op6_topk": TOPK_SQL, "op8_shard": SHARD_SQL}
