@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireline.llm import bpe, hash_tree, host_quality, packing, pii, secrets, simhash, topk
+from quireline.llm import bpe, hash_tree, host_quality, language, packing, pii, secrets, simhash, topk
 
 SHARDS = 8
 
@@ -17,6 +17,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_quality.host_quality(_documents(spark, sf_dir), ["doc_id"])
     return judged.select("doc.doc_id", *host_quality.BASE, "base_failed", "kept")
@@ -140,6 +145,7 @@ SELECT query_id, rank, vec_id, score FROM (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op2_quality": op2_quality,
         "op3_bpe": op3_bpe,
         "op4_simhash": op4_simhash,
