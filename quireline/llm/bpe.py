@@ -129,7 +129,7 @@ class TextCodec:
             if len(known) > self.memory:
                 known.clear()
                 self._bytes.clear()
-            for p in {*found} - known.keys():
+            for p in [p for p in {*found} if p not in known]:
                 ids = self.bpe.encode_piece(p.encode("utf-8", "surrogatepass"))
                 known[p] = " ".join(map(str, ids))
                 self._bytes[known[p]] = self.bpe.decode(ids)
