@@ -1 +1 @@
-
+"""Readers and settings."""
