@@ -13,8 +13,7 @@ repeated rows go to the same shard and get slots of their own; an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,32 +31,34 @@ def _unit(key: Column, name: str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{name}"))), 1, 13), 16, 10).cast("double") + 1) / float(2**52)
 
 
-def _least(draws: Sequence[Column]) -> Column:
-    return F.least(*draws) if len(draws) > 1 else draws[0]
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _first_least(named: Sequence[tuple[Column, Column]]) -> Column:
-    """Of pairs of a draw and a value, the value beside the least draw, the earlier on ties."""
-    best = _least([d for d, _ in named])
-    return reduce(lambda rest, pair: F.when(pair[0] == best, pair[1]).otherwise(rest), reversed(named[:-1]), named[-1][1])
+def _level(draws: Column, start: Column, groups: int, width: int) -> Column:
+    """Where, from ``start`` on, the one of ``groups`` runs of ``width`` draws begins that has the least draw."""
+    least = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.array_min(F.slice(draws, start + g * width, F.lit(width))))
+    return _let(least, lambda runs: start + (F.array_position(runs, F.array_min(runs)) - 1).cast("int") * width)
 
 
-def descend(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of a key; ``weights`` has one positive weight for each shard."""
-    draws = [-F.log(_unit(key, str(s))) / float(w) for s, w in enumerate(weights)]
-    regions = []
-    for r in range(0, len(draws), RACK * REGION):
-        racks = []
-        for k in range(r, min(r + RACK * REGION, len(draws)), RACK):
-            shards = [(draws[s], F.lit(s)) for s in range(k, min(k + RACK, len(draws)))]
-            racks.append((_least([d for d, _ in shards]), _first_least(shards)))
-        regions.append((_least([d for d, _ in racks]), _first_least(racks)))
-    return _first_least(regions)
+def leaf_draws(key: Column, weights: Sequence[float]) -> Column:
+    """The weighted draw of each shard; ``weights`` has one positive weight for each."""
+    return F.array(*[-F.log(_unit(key, str(s))) / float(w) for s, w in enumerate(weights)])
 
 
-def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def descend(draws: Column, shards: int) -> Column:
+    """The shard to which leaf draws lead, level by level: region, rack, shard."""
+    regions = -(-shards // (RACK * REGION))
+    own = F.slice(draws, F.lit(1), F.lit(shards))
+    return _let(own, lambda d: _let(_level(d, F.lit(1), regions, RACK * REGION), lambda r: _let(_level(d, r, REGION, RACK), lambda k: _level(d, k, RACK, 1) - 1)))
+
+
+def shard(docs: DataFrame, weights: Sequence[float], shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row.
 
+    The first ``shards`` of the weights are the shards there are; all weights are those after growth.
+
     Slots are dealt by (shard, hash part of the id), then shifted by the totals of the parts before,
     so no task sorts a whole shard; the totals have a fixed number of rows and are broadcast.
     """
@@ -68,10 +69,16 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], doc
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"),
-        descend(key, weights).cast("int").alias("shard"),
-        descend(key, grown).cast("int").alias("grown_shard"),
+        leaf_draws(key, weights).alias("_draws"),
         F.conv(F.substring(F.md5(F.concat(key, F.lit("/part"))), 1, 8), 16, 10).cast("long").alias("_part"),
-    ).withColumn("_part", (F.col("_part") % PARTS).cast("int"))
+    )
+    draws = F.col("_draws")
+    rows = rows.select(
+        "doc_id", "size", "text_crc32", "law",
+        descend(draws, shards).cast("int").alias("shard"),
+        descend(draws, len(weights)).cast("int").alias("grown_shard"),
+        (F.col("_part") % PARTS).cast("int").alias("_part"),
+    )
     rows = cut(rows, "shards")
     totals = rows.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -45,7 +45,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hash_tree.shard(_documents(spark, sf_dir), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+    return hash_tree.shard(_documents(spark, sf_dir), [1.0] * (SHARDS + 1), SHARDS)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
