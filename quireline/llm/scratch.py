@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_RECORDS: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +40,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quireline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _RECORDS:
+        _RECORDS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of tables that are cut inside the block."""
+    _RECORDS.append(made := [])
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        file = jvm.org.apache.hadoop.fs.Path(path)
+        file.getFileSystem(conf).delete(file, True)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a table that is cheap to count, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
