@@ -19,7 +19,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without leading and trailing Unicode white space, separators U+001C to U+001F included."""
-    return F.regexp_replace(c, rf"^[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.regexp_replace(c, rf"^[{WHITE}]+|(?<![{WHITE}])[{WHITE}]+\z", "")
 
 
 def leading_white(c: Column) -> Column:
@@ -115,10 +115,10 @@ def with_terminator_parts(parts: Column, eol: Column) -> Column:
 
     def body(p: Column) -> Column:
         def rest(k: Column) -> Column:  # what follows part k, without empty parts
-            return F.coalesce(F.element_at(F.filter(F.slice(p, k + 2, F.size(p)), lambda x: x != ""), 1), F.lit(""))
+            return F.coalesce(F.try_element_at(F.filter(F.slice(p, k + 2, F.size(p)), lambda x: x != ""), F.lit(1)), F.lit(""))
 
         def before(k: Column) -> Column:
-            return F.coalesce(F.element_at(F.filter(F.slice(p, F.lit(1), k), lambda x: x != ""), -1), F.lit(""))
+            return F.coalesce(F.try_element_at(F.filter(F.slice(p, F.lit(1), k), lambda x: x != ""), F.lit(-1)), F.lit(""))
 
         def moved(x: Column, k: Column) -> Column:
             lead = F.when(before(k).endswith("\r") & x.startswith("\n"), F.lit("\r")).otherwise("")

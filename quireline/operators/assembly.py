@@ -45,10 +45,20 @@ def _number(j: Column) -> Column:
 
 def assembled(docs: DataFrame, dnt: Sequence[str] = (), pieces: str = "pieces") -> DataFrame:
     """``docs`` with ``segments`` and ``nodes`` arrays in place of ``pieces``; all other columns stay."""
-    df = docs.withColumn("_opened", F.transform(pieces, lambda p: _opened(p, dnt)))
-    n = F.size("_opened")
-    df = df.withColumn("_kept", F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.element_at("_opened", i).keep)).otherwise(F.array().cast("array<int>")))
-    opened, kept = F.col("_opened"), F.col("_kept")
+
+    def built(opened: Column) -> Column:
+        n = F.size(opened)
+        places = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.element_at(opened, i).keep)).otherwise(F.array().cast("array<int>"))
+        return let(places, lambda kept: _numbered(opened, kept))
+
+    # One expression whose steps are bound variables: Catalyst cannot copy the masking into a loop.
+    result = let(F.transform(pieces, lambda p: _opened(p, dnt)), built)
+    return docs.withColumn("_built", result).withColumns({"segments": F.col("_built.segments"), "nodes": F.col("_built.nodes")}).drop("_built", pieces)
+
+
+def _numbered(opened: Column, kept: Column) -> Column:
+    """struct<segments, nodes> of opened pieces and the places of those that are kept."""
+    n = F.size(opened)
 
     def segment(i: Column, j: Column) -> Column:
         return let(
@@ -60,12 +70,9 @@ def assembled(docs: DataFrame, dnt: Sequence[str] = (), pieces: str = "pieces")
         """The text of the pieces from first to last."""
         return F.array_join(F.transform(F.slice(opened, first, F.greatest(last - first + 1, F.lit(0))), lambda p: p.text), "")
 
-    def end_of(j: Column) -> Column:
-        """The kept piece before place j, or 0."""
-        return F.when(j > 0, F.element_at(kept, F.greatest(j, F.lit(1)))).otherwise(0)
-
     def gap(j: Column, last: Column) -> Column:
-        before = end_of(j)
+        """What stands before the kept piece at place j: the CRs of the one before it, and the pieces in between."""
+        before = F.when(j > 0, F.element_at(kept, F.greatest(j, F.lit(1)))).otherwise(0)
         cr = F.when(before > 0, F.element_at(opened, F.greatest(before, F.lit(1))).cr).otherwise("")
         return F.concat(cr, between(before + 1, last))
 
@@ -73,7 +80,7 @@ def assembled(docs: DataFrame, dnt: Sequence[str] = (), pieces: str = "pieces")
     seg = lambda j: F.struct(F.lit("seg").alias("t"), F.lit(None).cast("string").alias("v"), _number(j + 1).alias("seg_id"))
     body = F.flatten(F.transform(kept, lambda i, j: F.array(raw(gap(j, i - 1)), seg(j))))
     nodes = F.filter(F.concat(body, F.array(raw(gap(F.size(kept), n)))), lambda x: (x.t == "seg") | (x.v != ""))
-    return df.withColumns({"segments": F.transform(kept, segment), "nodes": nodes}).drop("_opened", "_kept", pieces)
+    return F.struct(F.transform(kept, segment).alias("segments"), nodes.alias("nodes"))
 
 
 def segments_of(docs: DataFrame, *keys: str) -> DataFrame:

@@ -22,9 +22,8 @@ def filled_lines(text: Column) -> Column:
 
 def paragraph_mode(text: Column) -> Column:
     """``blank-line`` if a blank line lies between two filled ones, else ``line``."""
-    body = F.regexp_replace(text, r"^\x{FEFF}+", "")
-    filled = rf"[^{WHITE}]"
-    return F.when(body.rlike(rf"{filled}[^\n]*\n(?:[{WHITE}&&[^\n]]*\n)+[{WHITE}]*{filled}"), "blank-line").otherwise("line")
+    inner = strip(F.regexp_replace(text, r"^\x{FEFF}+", ""))  # begins and ends inside filled lines
+    return F.when(inner.rlike(rf"\n[{WHITE}&&[^\n]]*\n"), "blank-line").otherwise("line")
 
 
 def is_chapter(source: Column, patterns: Sequence[str] = CHAPTERS) -> Column:
