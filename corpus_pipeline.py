@@ -6,12 +6,15 @@ again as the next stage's ``docs``. All but the last return the columns of ``doc
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireline.llm import host_quality, language, packing, pii, simhash
-from quireline.llm.scratch import cut
+from quireline.llm.scratch import cut, drop, recorded
 
 #: Documents of a lower pooled language probability go; an even guess over four languages has 0.25.
 MIN_LANGUAGE_SCORE = 0.3
@@ -19,12 +22,33 @@ MIN_LANGUAGE_SCORE = 0.3
 #: SQL can express neither the trained language model nor Golay keys and BPE ids; tests hold run() against brute force.
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that the stage before has cut for itself; its result has been written once the next stage begins.
+_BEFORE: list[str] = []
+
+
+def stage(function: Stage) -> Stage:
+    """A stage that first deletes what the one before it has cut, as ``docs`` no longer reads it."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _BEFORE)
+        _BEFORE.clear()
+        with recorded() as made:
+            out = function(spark, docs, sf_dir)
+        _BEFORE.extend(made)
+        return out
+
+    return run_stage
+
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and those of their host."""
     return host_quality.host_quality(docs, docs.columns).where("kept").select("doc.*")
 
 
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network tells; without any labelled document nothing can be told and all stay."""
     model = language.train(docs)
@@ -34,17 +58,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("doc.*")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
     return simhash.simhash_dedup(docs)
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
     masked = pii.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of fixed windows of tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -62,6 +89,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, apply in STAGES[:-1]:
+        docs = cut(apply(spark, docs, sf_dir), name)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    _BEFORE.clear()  # the result is not written here, so what it reads stays
+    return out

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireline.llm.scratch import cut
+from quireline.llm.scratch import cut, small
 
 #: Fixed values of the rules.
 MIN_WORDS = 50
@@ -24,6 +24,8 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 #: A host goes when more than this share of its documents is expected to fail.
 MAX_HOST_RATE = 0.5
+#: Hosts up to which their verdicts are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 100_000
 #: Pseudo-documents of the prior when all hosts have one and the same rate.
 FALLBACK_STRENGTH = 100.0
 
@@ -106,6 +108,6 @@ def host_quality(docs: DataFrame, carry: Sequence[str], text: str = "text", host
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col(text).alias("_text"), F.col(host).alias("_host"))
     judged = cut(measured(rows, "_text").drop("_text"), "quality")
-    verdicts = host_verdicts(judged, max_rate=max_rate).select(F.col("_host").alias("_h"), "host_rate", "host_failed")
-    joined = judged.join(verdicts, F.col("_host").eqNullSafe(F.col("_h")), "left")
+    verdicts = cut(host_verdicts(judged, max_rate=max_rate).select(F.col("_host").alias("_h"), "host_rate", "host_failed"), "hosts")
+    joined = judged.join(small(verdicts, MAX_BROADCAST), F.col("_host").eqNullSafe(F.col("_h")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).select("doc", *BASE, "base_failed", "kept", "host_rate")

@@ -25,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireline.llm.scratch import cut
+from quireline.llm.scratch import cut, small
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
+#: Rows with added spans up to which they are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 100_000
 ROUNDS, MIN_CONFIDENCE, MIN_SEEDS, SMOOTHING = 3, 0.5, 3, 1.0
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -157,7 +159,7 @@ def find_personal(docs: DataFrame, carry: Sequence[str] = (), doc_id: str = "doc
     new = found.where("i IS NOT NULL AND NOT seed").join(trusted, "p").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("new"))
     label = lambda x: F.concat(F.lit(f"{CONTEXT}:"), x.s.cast("string"), F.lit(":"), x.e.cast("string"))
     added = new.select("_row", F.array_join(F.transform("new", label), ",").alias("_added"), F.size("new").cast("long").alias("_n"))
-    out = rows.drop("found").join(added, "_row", "left")
+    out = rows.drop("found").join(small(cut(added, "added"), MAX_BROADCAST), "_row", "left")
     spans = F.array_join(F.filter(F.array(F.col("base"), F.coalesce("_added", F.lit(""))), lambda x: x != ""), ",")
     return out.select(*kept, "n_email", "n_ip", "n_card", "n_phone", "base", spans.alias("spans"), F.coalesce("_n", F.lit(0)).alias("n_context"))
 

@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from quireline.llm import golay
 from quireline.llm.components import components
-from quireline.llm.scratch import cut
+from quireline.llm.scratch import cut, small
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
 #: Bits and first bit of each segment.
 SEGMENTS = ((22, 42), (21, 21), (21, 0))
 #: The largest bucket that is verified pair by pair.
 MAX_BUCKET = 64
+#: Documents to drop (eight bytes each) up to which their list is broadcast; a longer one is joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 _BLOCK = 1 << 14
 
 
@@ -149,4 +151,5 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """One document of each component, that of the smallest id, with the columns of ``docs``."""
     rows, classes = near_duplicates(docs, docs.columns, doc_id, text)
     kept = classes.select(F.col("_keep").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select("_doc.*")
+    gone = cut(rows.select("_row").join(kept, "_row", "left_anti"), "gone")
+    return rows.join(small(gone, MAX_BROADCAST), "_row", "left_anti").select("_doc.*")
