@@ -20,10 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.scratch import arrow_function
+
 WINDOW, HIDDEN = 96, 8
 #: Training windows for each language, about, languages at most (the most frequent) and windows of one document at most.
 QUOTA, MAX_LANGUAGES, PLACES = 1_200, 256, 8
@@ -239,11 +240,11 @@ def identify(docs: DataFrame, model: LanguageModel, carry: Sequence[str] = (), d
     """doc_id, held_out, lang_pred and score of each row, with the struct doc of carried columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a network of fixed size
 
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        names, scores = shared.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    def predicted(texts: list[str | None]) -> list[dict]:
+        names, scores = shared.value.predict(texts)
+        return [{"lang_pred": n, "score": s} for n, s in zip(names, scores.tolist(), strict=True)]
 
     spoken = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
     struct = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")] if carry else []
-    out = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), *struct, F.pandas_udf(predicted, "lang_pred string, score double")(spoken).alias("r"))
+    out = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), *struct, arrow_function(predicted, "lang_pred string, score double")(spoken).alias("r"))
     return out.select("doc_id", "held_out", *(["doc"] if carry else []), "r.lang_pred", "r.score")

@@ -21,11 +21,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireline.llm.scratch import cut, small
+from quireline.llm.scratch import arrow_function, cut, small
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -117,13 +116,14 @@ def _joined(spans: Sequence[tuple[str, int, int]]) -> str:
 _FOUND = "array<struct<p: string, i: string, s: int, e: int, seed: boolean>>"
 
 
-def _scanned(texts: pd.Series) -> pd.DataFrame:
+def _scanned(texts: list[str | None]) -> list[dict]:
     rows = []
     for t in texts:
         base = base_spans(t or "")
+        counts = {f"n_{name}": sum(k == name for k, _, _ in base) for name in KINDS}
         found = [dict(zip(("p", "i", "s", "e", "seed"), x, strict=True)) for x in cues(t or "", base)]
-        rows.append((*(sum(k == name for k, _, _ in base) for name in KINDS), _joined(base), found))
-    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "found"])
+        rows.append(counts | {"base": _joined(base), "found": found})
+    return rows
 
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -151,7 +151,7 @@ def find_personal(docs: DataFrame, carry: Sequence[str] = (), doc_id: str = "doc
     struct = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")] if carry else []
     schema = f"n_email long, n_ip long, n_card long, n_phone long, base string, found {_FOUND}"
 
-    scanned = docs.select(F.col(doc_id).alias("doc_id"), *struct, F.pandas_udf(_scanned, schema)(F.col(text)).alias("r"))
+    scanned = docs.select(F.col(doc_id).alias("doc_id"), *struct, arrow_function(_scanned, schema)(F.col(text)).alias("r"))
     kept = ["doc_id", *(["doc"] if carry else [])]
     rows = cut(scanned.select(F.monotonically_increasing_id().alias("_row"), *kept, "r.*"), "personal")
     found = rows.where(F.size("found") > 0).select("_row", F.inline("found"))
@@ -164,26 +164,23 @@ def find_personal(docs: DataFrame, carry: Sequence[str] = (), doc_id: str = "doc
     return out.select(*kept, "n_email", "n_ip", "n_card", "n_phone", "base", spans.alias("spans"), F.coalesce("_n", F.lit(0)).alias("n_context"))
 
 
+def _masked(text: str, spans: str) -> str:
+    """A text with its spans replaced; where spans overlap, the first one's kind stands for both."""
+    parts, at = [], 0
+    for start, end, kind in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans.split(","))):
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every found span of the text replaced by its kind in brackets."""
     found = find_personal(docs, docs.columns, doc_id, text)
 
-    def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(texts, spans, strict=True):
-            if t is None or not s:
-                out.append(t)
-                continue
-            marks = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in s.split(",")))
-            parts, at = [], 0
-            for a, b, k in marks:
-                if b <= at:
-                    continue
-                parts += [t[at : max(a, at)], f"[{k.upper()}]"]
-                at = b
-            out.append("".join([*parts, t[at:]]))
-        return pd.Series(out, dtype=object)
-
-    new = F.when(F.col("spans") == "", F.col(f"doc.{text}")).otherwise(F.pandas_udf(masked, "string")(F.col(f"doc.{text}"), F.col("spans")))
+    def masked(texts: list[str | None], spans: list[str]) -> list[str | None]:
+        return [t if t is None or not s else _masked(t, s) for t, s in zip(texts, spans, strict=True)]
+
+    new = F.when(F.col("spans") == "", F.col(f"doc.{text}")).otherwise(arrow_function(masked, "string")(F.col(f"doc.{text}"), F.col("spans")))
     return found.select(*[new.alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns])
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _RECORDS: list[list[str]] = []
+#: Rows that an Arrow function handles together.
+TOGETHER = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +66,27 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         file.getFileSystem(conf).delete(file, True)
 
 
+def arrow_function(rows: Callable[[list], list], kind: str) -> Callable[..., Column]:
+    """A column function of ``rows``, from lists of values (one or more) to a list of values.
+
+    Arrow arrays are taken apart a few rows at a time, so a worker never holds a whole batch as
+    Python objects, and gives the memory back when a batch is done.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    made = to_arrow_type(_parse_datatype_string(kind))
+
+    def whole(*arrays: pa.Array) -> pa.Array:
+        out = [
+            pa.array(rows(*(a.slice(at, TOGETHER).to_pylist() for a in arrays)), type=made) for at in range(0, len(arrays[0]), TOGETHER)
+        ]
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(out) if out else pa.array([], type=made)
+
+    return F.arrow_udf(whole, kind)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df``, a table that is cheap to count, marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quireline.llm import golay
 from quireline.llm.components import components
-from quireline.llm.scratch import cut, small
+from quireline.llm.scratch import arrow_function, cut, small
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
 #: Bits and first bit of each segment.
@@ -59,13 +59,13 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+def _fingerprints(texts: list[str | None]) -> list[int]:
+    return np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, carry: Sequence[str] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A written table of _row (unique), _id, _fp (signed 64-bit) and, if columns are carried, the struct _doc of them."""
-    picked = docs.select(F.col(doc_id).alias("_id"), F.pandas_udf(_fingerprints, "long")(F.col(text)).alias("_fp"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_doc")] if carry else []))
+    picked = docs.select(F.col(doc_id).alias("_id"), arrow_function(_fingerprints, "long")(F.col(text)).alias("_fp"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_doc")] if carry else []))
     return cut(picked.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
 
 
