@@ -21,14 +21,15 @@ of the input are dropped first, so their names clash with nothing; an empty tabl
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.scratch import arrow_function
+
 #: Pieces of at most so many bytes are merged directly.
 LEAF = 16
 #: Tokens taken from either side of a seam at first.
@@ -140,21 +141,22 @@ class TextCodec:
         return b"".join(map(self._bytes.__getitem__, encoded))
 
 
+@lru_cache(maxsize=1)
+def text_codec(vocabulary: str, pattern: str) -> TextCodec:
+    """The codec of a worker, which keeps what it knows from task to task."""
+    return TextCodec(TreeBPE.load(vocabulary), pattern)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; ``vocabulary``: a file of ranks that every machine has."""
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    kind = picked.schema["doc_id"].dataType.simpleString()
-
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = TextCodec(TreeBPE.load(vocabulary), pattern)
-        for pdf in batches:
-            rows = []
-            for t in pdf["_text"]:
-                encoded = codec.encode(t or "")
-                ids = " ".join(encoded)
-                rows.append((ids.count(" ") + 1 if ids else 0, sha256(ids.encode()).hexdigest(), sha256(codec.decode(encoded)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
-    return picked.mapInPandas(coded, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def coded(texts: list[str | None]) -> list[dict]:
+        codec, out = text_codec(vocabulary, pattern), []
+        for t in texts:
+            encoded = codec.encode(t or "")
+            ids = " ".join(encoded)
+            out.append({"n_tokens": ids.count(" ") + 1 if ids else 0, "ids_sha256": sha256(ids.encode()).hexdigest(), "decoded_sha256": sha256(codec.decode(encoded)).hexdigest()})
+        return out
+
+    made = arrow_function(coded, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).alias("doc_id"), made(F.col(text)).alias("r")).select("doc_id", "r.*")

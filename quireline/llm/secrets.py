@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.scratch import arrow_function
+
 KINDS = ("assign", "access", "hex")
 RANDOM = "random"
 #: Characters for each token, at most, of a random string.
@@ -84,24 +85,25 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
+@lru_cache(maxsize=1)
+def scanner(vocabulary: str, pattern: str) -> Scanner:
+    """The scanner of a worker."""
+    return Scanner(vocabulary, pattern)
+
+
 def scan(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random of each row; offsets in code points."""
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    kind = picked.schema["doc_id"].dataType.simpleString()
     order = {k: i for i, k in enumerate((*KINDS, RANDOM))}
 
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(vocabulary, pattern)
-        for pdf in batches:
-            rows = []
-            for t in pdf["_text"]:
-                base = base_spans(t or "")
-                more = scanner.added(t or "", base)
-                counts = [sum(k == name for _, k, _ in base) for name in KINDS]
-                every = sorted(base + more, key=lambda x: (x[0], order[x[1]]))
-                rows.append((*counts, sha256(_joined(base).encode()).hexdigest(), _joined(every), len(more)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
-    return picked.mapInPandas(scanned, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    def scanned(texts: list[str | None]) -> list[dict]:
+        out = []
+        for t in texts:
+            base = base_spans(t or "")
+            more = scanner(vocabulary, pattern).added(t or "", base)
+            counts = {f"n_{name}": sum(k == name for _, k, _ in base) for name in KINDS}
+            every = sorted(base + more, key=lambda x: (x[0], order[x[1]]))
+            out.append(counts | {"base_sha256": sha256(_joined(base).encode()).hexdigest(), "spans": _joined(every), "n_random": len(more)})
+        return out
+
+    made = arrow_function(scanned, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return docs.select(F.col(doc_id).alias("doc_id"), made(F.col(text)).alias("r")).select("doc_id", "r.*")

@@ -166,7 +166,8 @@ def top_inner_products(embeddings: DataFrame, k: int = K, every: int = EVERY, ve
 
     asks = rows.where(F.col("_id") % every == 0).withColumn("_block", block)
     asks = asks.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    offers = rows.withColumn("_shard", dealt).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A null id goes through pandas as the largest long: it would turn the column into floats.
+    offers = rows.withColumn("_id", F.coalesce("_id", F.lit(int(_NULL_ID)))).withColumn("_shard", dealt).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     group = ["_size", "_shard", "_block"]
 
     def matched(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +175,7 @@ def top_inner_products(embeddings: DataFrame, k: int = K, every: int = EVERY, ve
         if len(left) and len(right):
             size = int(left["_size"].iloc[0])
             vectors, queries = _matrix(right["_v"], size), _matrix(left["_v"], size)
-            ids, at = right["_id"].fillna(_NULL_ID).to_numpy(dtype=np.int64), right["_row"].to_numpy(dtype=np.int64)
+            ids, at = right["_id"].to_numpy(dtype=np.int64), right["_row"].to_numpy(dtype=np.int64)
             own, asked = left["_row"].to_numpy(dtype=np.int64), left["_id"].to_numpy(dtype=np.int64)
             known, known_rows = shared.value.get(size, (np.zeros((0, size)), np.zeros(0, dtype=np.int64)))
             most = max(float(np.abs(x).max(initial=0.0)) for x in (vectors, queries, known))
