@@ -218,3 +218,41 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a second run has nothing new
         stream_reuse(stream, known, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_projects(tmp_path):
+    from quireline.sources import projects
+
+    (tmp_path / "a" / "b" / ".lx").mkdir(parents=True)
+    (tmp_path / ".hidden" / ".lx").mkdir(parents=True)
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "lx.config.json").write_text("{}")
+    (tmp_path / "c" / "loop").symlink_to(tmp_path)
+    assert projects.find_projects(str(tmp_path)) == [str(tmp_path / "a" / "b"), str(tmp_path / "c")]
+    assert projects.printable_url("https://u:p@h:8/x?k=1") == "https://h:8/x?…" and projects.printable_url("https://h/x") == "https://h/x"
+    assert projects.has_version_segment("http://h/v1/x") and not projects.has_version_segment("http://h/vx")
+    assert projects.backoff(9) == 20.0 and projects.backoff(1, "3") == 3.0 and projects.backoff(0, "Wed, 1 Jan", lambda: 0.5) == 1.5
+    assert projects.confined_path("a/b.md", str(tmp_path)) == "a/b.md"
+    for bad in ("../x", "/x", "C:x", "a/../../x", "con.txt", ""):
+        with pytest.raises(ValueError):
+            projects.confined_path(bad, str(tmp_path))
+    with pytest.raises(ValueError):
+        projects.language_tag("x/y")
+    file = tmp_path / "g.csv"
+    file.write_bytes(b"source,target\r\na,b")
+    assert projects.append_glossary(str(file), ["Ann"]) == 1 and file.read_bytes() == b"source,target\r\na,b\r\nAnn,,,error\r\n"
+
+
+def test_exports(spark):
+    from quireline.plans.export import checked, rendered, todo
+
+    s = stored(spark)
+    item = json.loads(todo(s, [{"source": "hello", "target": "hallo"}]).first().item)
+    assert item == {"id": "s0001", "kind": "para", "text": "Hello there", "glossary": ["hello -> hallo"]}
+    report, issues = checked(s, checks.Rules(lang="de"))
+    row = report.first()
+    assert (row.segments, row.translated, row.errors) == (3, 2, 1) and row.by_rule["missing"] == 1 and issues.count() >= 2
+    documents = spark.createDataFrame([("d", "de", "x/y.txt", "\r\n", "text")], "doc_id string, lang string, source string, eol string, format string")
+    nodes = spark.createDataFrame([("d", "de", 1, "seg", None, "s0001"), ("d", "de", 2, "raw", "\n", None), ("d", "de", 3, "seg", None, "s0002")], "doc_id string, lang string, pos int, t string, v string, seg_id string")
+    out = rendered(documents, nodes, s).first()
+    assert (out.path, out.text, out.missing) == ("i18n/de/x/y.txt", "[untranslated s0001]\r\nGuten Tag", 1)
