@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireline.llm import bpe, hash_tree, host_quality, language, packing, pii, secrets, simhash, topk
+from quireline.llm import bpe, hash_tree, host_quality, language, packing, pii, secrets, simhash, topk, toxicity
 
 SHARDS = 8
 
@@ -44,6 +44,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard(_documents(spark, sf_dir), [1.0] * (SHARDS + 1), SHARDS)
 
@@ -151,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_pii": op5_pii,
         "op6_topk": op6_topk,
+        "op7_toxicity": op7_toxicity,
         "op8_shard": op8_shard,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
