@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quireline.functions.values import ABBREVIATIONS, NAME_LETTER, STOPWORDS
 
+PARTS = 64
 _WORD = re.compile(rf"[{NAME_LETTER}]+(?:['’-][{NAME_LETTER}]+)*")
 _POSSESSIVE = re.compile(r"['’][Ss]\Z")
 _ENDS = frozenset(".!?…")
@@ -63,7 +64,8 @@ def sightings(text: str, abbreviations: frozenset[str], stopwords: frozenset[str
 def candidate_terms(segments: DataFrame, min_count: int = 2, abbreviations: Sequence[str] = ABBREVIATIONS, stopwords: Sequence[str] = STOPWORDS, keys: Sequence[str] = ("doc_id",), text: str = "masked") -> DataFrame:
     """keys, source, count, mid_sentence and examples (the first three segments with it inside a sentence).
 
-    Sightings are counted per segment before the shuffle; ranking takes one row a term and segment.
+    Sightings are counted per segment before the shuffle. A term that is everywhere is ranked in
+    ``PARTS`` parts, whose first three examples each then meet.
     """
     known, stops = frozenset(abbreviations), frozenset(stopwords)
 
@@ -72,10 +74,13 @@ def candidate_terms(segments: DataFrame, min_count: int = 2, abbreviations: Sequ
 
     seen = segments.select(*keys, "pos", "id", F.inline(F.pandas_udf(rows, "array<struct<source: string, inside: boolean>>")(F.col(text))))
     each = seen.groupBy(*keys, "source", "pos", "id").agg(F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("mid"))
-    place = F.row_number().over(Window.partitionBy(*keys, "source").orderBy((F.col("mid") == 0).cast("int"), "pos"))
-    ranked = each.withColumn("_place", place)
-    example = F.collect_list(F.when((F.col("_place") <= 3) & (F.col("mid") > 0), F.struct("_place", "id")))
-    out = ranked.groupBy(*keys, "source").agg(F.sum("n").alias("count"), F.sum("mid").alias("mid_sentence"), F.transform(F.array_sort(example), lambda x: x.id).alias("examples"))
+    parts = [*keys, "source", "_part"]
+    each = each.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    place = F.row_number().over(Window.partitionBy(*parts).orderBy((F.col("mid") == 0).cast("int"), "pos"))
+    example = F.collect_list(F.when((F.col("_place") <= 3) & (F.col("mid") > 0), F.struct("pos", "id")))
+    inside = each.withColumn("_place", place).groupBy(*parts).agg(F.sum("n").alias("n"), F.sum("mid").alias("mid"), example.alias("ex"))
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("ex"))), 1, 3)
+    out = inside.groupBy(*keys, "source").agg(F.sum("n").alias("count"), F.sum("mid").alias("mid_sentence"), F.transform(first, lambda x: x.id).alias("examples"))
     return out.where((F.col("count") >= min_count) & (F.col("mid_sentence") > 0))
 
 
