@@ -20,11 +20,13 @@ PIECES = "array<struct<kind: string, text: string>>"
 
 def _opened(piece: Column, dnt: Sequence[str]) -> Column:
     """A piece with its trailing CRs apart, masked where it has a kind, and ``keep``."""
-    source = F.regexp_replace(piece.text, r"\r+\z", "")
     none = F.struct(F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("originals"))
-    mask = F.when(piece.kind.isNotNull(), masking.masked(source, dnt)).otherwise(none)
 
-    def built(m: Column) -> Column:
+    def stripped(source: Column) -> Column:
+        mask = F.when(piece.kind.isNotNull(), masking.masked(source, dnt)).otherwise(none)
+        return let(mask, lambda m: built(source, m))
+
+    def built(source: Column, m: Column) -> Column:
         keep = piece.kind.isNotNull() & masking.worth_sending(source, m.text)
         return F.struct(
             piece.kind.alias("kind"),
@@ -36,7 +38,7 @@ def _opened(piece: Column, dnt: Sequence[str]) -> Column:
             F.coalesce(keep, F.lit(False)).alias("keep"),
         )
 
-    return let(mask, built)
+    return let(F.when(piece.text.endswith("\r"), F.regexp_replace(piece.text, r"\r+\z", "")).otherwise(piece.text), stripped)
 
 
 def _number(j: Column) -> Column:
@@ -84,10 +86,14 @@ def _numbered(opened: Column, kept: Column) -> Column:
 
 
 def segments_of(docs: DataFrame, *keys: str) -> DataFrame:
-    """One row for each segment, with the key columns of its document."""
-    return docs.select(*keys, F.inline("segments"))
+    """One row for each segment, with the key columns of its document.
+
+    The outer form keeps Catalyst from testing the array's size first, which would build it twice more.
+    """
+    return docs.select(*keys, F.inline_outer("segments")).where(F.col("id").isNotNull())
 
 
 def nodes_of(docs: DataFrame, *keys: str) -> DataFrame:
     """One row for each node: keys, pos, t, v, seg_id."""
-    return docs.select(*keys, F.posexplode("nodes").alias("pos", "node")).select(*keys, (F.col("pos") + 1).alias("pos"), "node.*")
+    rows = docs.select(*keys, F.posexplode_outer("nodes").alias("pos", "node")).where(F.col("node").isNotNull())
+    return rows.select(*keys, (F.col("pos") + 1).alias("pos"), "node.*")

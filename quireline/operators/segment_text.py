@@ -34,10 +34,16 @@ def is_chapter(source: Column, patterns: Sequence[str] = CHAPTERS) -> Column:
 
 def text_pieces(text: Column, mode: Column, chapters: Sequence[str] = CHAPTERS) -> Column:
     """The pieces of a plain text: blocks of lines, and what stands between them."""
-    bom = F.regexp_extract(text, r"^\x{FEFF}*", 0)
-    body = F.substring(text, F.length(bom) + 1, F.length(text))
+    mark = F.regexp_extract(text, r"^\x{FEFF}*", 0)
+    whole = let(mark, lambda m: F.struct(m.alias("bom"), F.substring(text, F.length(m) + 1, F.length(text)).alias("body")))
+    return F.when(text == "", F.array(_piece(None, text))).otherwise(let(whole, lambda w: _cut(w.bom, let(w.body, lambda b: F.struct(lines(b).alias("rows"), b.endswith("\n").alias("ended"), mode.alias("mode"))), chapters)))
 
-    def cut(rows: Column) -> Column:
+
+def _cut(bom: Column, parts: Column, chapters: Sequence[str]) -> Column:
+    """The pieces of a text's rows; ``parts``: struct<rows, ended, mode>, bound so that no loop computes them again."""
+
+    def cut(given: Column) -> Column:
+        rows, ended_by_lf, mode = given.rows, given.ended, given.mode
         n = F.size(rows)
         line = lambda i: F.element_at(rows, i)
         before = lambda i: F.element_at(rows, F.greatest(i - 1, F.lit(1)))
@@ -50,25 +56,26 @@ def text_pieces(text: Column, mode: Column, chapters: Sequence[str] = CHAPTERS)
             def block(i: Column, j: Column) -> Column:
                 following = F.when(j + 1 < count, F.element_at(at, F.least(j + 2, count))).otherwise(n + 1)
                 own = F.slice(rows, i, following - i)
-                filled = F.filter(own, lambda x: ~is_blank(x))
-                gap = F.slice(own, F.size(filled) + 1, F.greatest(F.size(own) - F.size(filled), F.lit(0)))
-                last = following > n
-                indent = leading_white(F.element_at(filled, 1))
-                source = F.array_join(filled, "\n")
-                source = F.substring(source, F.length(indent) + 1, F.length(source))
-                kind = F.when((F.size(filled) == 1) & is_chapter(source, chapters), "heading").otherwise("para")
+                # What the lines are, then what the block is made of: each is computed once.
+                parts = let(own, lambda o: F.struct(o.alias("own"), F.size(F.filter(o, lambda x: ~is_blank(x))).alias("filled"), leading_white(F.element_at(o, 1)).alias("indent"), (following > n).alias("last")))
+                return let(parts, pieces_of)
+
+            def pieces_of(p: Column) -> Column:
+                gap = F.slice(p.own, p.filled + 1, F.greatest(F.size(p.own) - p.filled, F.lit(0)))
+                whole = F.when(F.size(p.own) == 1, F.element_at(p.own, 1)).otherwise(F.array_join(F.slice(p.own, F.lit(1), p.filled), "\n"))
                 ended = F.concat(F.lit("\n"), F.array_join(F.transform(gap, lambda x: F.concat(x, F.lit("\n"))), ""))
-                ended = F.when(last & ~body.endswith("\n"), F.substring(ended, F.lit(1), F.length(ended) - 1)).otherwise(ended)
-                return F.array(_piece(None, indent), _piece(kind, source), _piece(None, ended))
+                ended = F.when(p.last & ~ended_by_lf, F.substring(ended, F.lit(1), F.length(ended) - 1)).otherwise(ended)
+                source = F.substring(whole, F.length(p.indent) + 1, F.length(whole))
+                return let(source, lambda x: F.array(_piece(None, p.indent), _piece(F.when((p.filled == 1) & is_chapter(x, chapters), "heading").otherwise("para"), x), _piece(None, ended)))
 
             head = F.slice(rows, F.lit(1), F.when(count > 0, F.element_at(at, F.lit(1)) - 1).otherwise(n))
             opening = F.array_join(F.transform(head, lambda x: F.concat(x, F.lit("\n"))), "")
-            opening = F.when((count == 0) & ~body.endswith("\n"), F.substring(opening, F.lit(1), F.length(opening) - 1)).otherwise(opening)
+            opening = F.when((count == 0) & ~ended_by_lf, F.substring(opening, F.lit(1), F.length(opening) - 1)).otherwise(opening)
             return F.concat(F.array(_piece(None, F.concat(bom, opening))), F.flatten(F.transform(at, block)))
 
         return let(starts, blocks)
 
-    return F.when(body == "", F.array(_piece(None, text))).otherwise(let(lines(body), cut))
+    return let(parts, cut)
 
 
 def _piece(kind: Column | None, text: Column) -> Column:

@@ -38,10 +38,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables of up to so many bytes a core are dealt anew before costly text work: they may lie in one row group, which one task reads.
+SPREAD_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; a large one as it is read, as it has row groups enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES * cores else df
+
+
 # ---- inputs that several queries share -------------------------------------------------------------
 
 #: Terms of the invented English of ``documents``; they stand in for a project's lists.
@@ -100,7 +111,7 @@ pairs AS (
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, source, target): each document and, as its wording, the next document's text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("target"))
     return docs.select("doc_id", F.col("text").alias("source")).join(other, "doc_id").withColumnRenamed("doc_id", "id")
 
@@ -116,7 +127,7 @@ def counted(df: DataFrame, issues: Column) -> DataFrame:
 
 def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of ``documents`` as segments, with the columns that stored ones have."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     out = segments_of(segment_text(docs, mode="line").select("doc_id", "lang", "host", "segments"), "doc_id", "lang", "host")
     null = F.lit(None).cast("string")
     return out.withColumns({"context": F.col("kind"), "variant": null, "tone": null, "slots": masking.plain_slots(F.col("originals"))})
@@ -207,7 +218,7 @@ def mask_sql(source: str, terms_: tuple[str, ...] = ()) -> str:
 
 @query("q07_mask_documents", f"WITH {mask_sql('SELECT doc_id AS id, text AS s FROM documents')} SELECT id AS doc_id, n::BIGINT AS n_slots, sha1(s) AS masked_sha1 FROM masked")
 def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "documents").select("doc_id", masking.masked(F.col("text")).alias("m"))
+    m = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", masking.masked(F.col("text")).alias("m"))
     return m.select("doc_id", F.size("m.originals").cast("long").alias("n_slots"), F.sha1(F.col("m.text").cast("binary")).alias("masked_sha1"))
 
 
@@ -696,7 +707,7 @@ def q43(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q44_sentences", "SELECT doc_id, sha1(text) AS joined_sha1 FROM documents")
 def q44(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", sentences(F.col("text")).alias("s"))
+    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", sentences(F.col("text")).alias("s"))
     return df.select("doc_id", F.sha1(F.array_join("s", "").cast("binary")).alias("joined_sha1"))
 
 
