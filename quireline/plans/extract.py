@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,18 @@ from quireline.operators.segment_markdown import segment_markdown
 from quireline.operators.segment_text import segment_text
 
 
+#: How each format is segmented: from documents, the text column and protected terms to ``host``, ``segments`` and ``nodes``.
+#: A further format is one more entry.
+FORMATS: dict[str, Callable[[DataFrame, str, Sequence[str]], DataFrame]] = {"markdown": segment_markdown, "text": segment_text}
+
+
 def segmented(docs: DataFrame, dnt: Sequence[str] = (), text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(segments, nodes) of documents with doc_id, lang, tone, format and text."""
     keys = ("doc_id", "lang", "tone")
-    columns = [*keys, "host", "segments", "nodes"]
-    markdown = segment_markdown(docs.where(F.col("format") == "markdown"), text, dnt).select(*columns)
-    plain = segment_text(docs.where(F.col("format") == "text"), text, dnt).select(*columns)
-    both = markdown.unionByName(plain)
-    segments = segments_of(both, *keys, "host").withColumns({"context": F.col("kind"), "variant": F.lit(None).cast("string"), "slots": masking.tag_slots(F.col("originals"))})
-    return segments, nodes_of(both, "doc_id", "lang")
+    parts = [segment(docs.where(F.col("format") == name), text, dnt).select(*keys, "host", "segments", "nodes") for name, segment in FORMATS.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    segments = segments_of(every, *keys, "host").withColumns({"context": F.col("kind"), "variant": F.lit(None).cast("string"), "slots": masking.tag_slots(F.col("originals"))})
+    return segments, nodes_of(every, "doc_id", "lang")
 
 
 def segment_key(tone: str = "tone"):
