@@ -20,6 +20,8 @@ from quireline.operators.segment_text import is_chapter, paragraph_mode, segment
 from quireline.plans.extract import reused, segmented
 from quireline.plans.translate import stub_provider, translate
 from quireline.sources.documents import decoded
+from quireline.sources.state import scratch_folder
+from quireline.streaming.ingest import read_stream, stream_reuse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -785,6 +787,20 @@ def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate(s, selection.select(s, "draft"), "de", stub_provider, glossary=GLOSSARY).select("doc_id", "id", "target", "origin", "why")
 
 
+@query(
+    "q51_stream_reuse",
+    f"""WITH {SEGMENTS}, known AS (SELECT DISTINCT source FROM segs WHERE doc_id % 2 = 0)
+SELECT doc_id, 's' || lpad(pos::VARCHAR, 4, '0') AS id, CASE WHEN k.source IS NOT NULL THEN 'tm' END AS origin FROM segs LEFT JOIN known k USING (source)""",
+)
+def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive as a stream, answered from the memory and logged batch by batch."""
+    schema = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").schema
+    docs = read_stream(spark, f"{sf_dir}/documents.parque[t]", schema)
+    out = scratch_folder(spark, "stream")
+    stream_reuse(docs, document_memory(spark, sf_dir), f"{out}/log", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/log").select("doc_id", "id", "origin")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -7,6 +7,8 @@ Wording is an append-only log, ``targets``; what stands is the last entry of eac
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,3 +106,20 @@ def guarded(segments: DataFrame, incoming: DataFrame, over_human: bool = False,
     by_hand = F.col("origin").startswith(MODEL_PREFIX) & (old["origin"] == HUMAN) & F.lit(not over_human)
     outcome = F.when(old.isNull(), "unknown").when(F.coalesce(by_hand, F.lit(False)), "refused").when(changed, "stale").otherwise("written")
     return df.withColumn("outcome", outcome).drop("_s")
+
+
+def still_true(segments: DataFrame, checked: DataFrame, keys: Sequence[str] = (*KEYS, "id")) -> DataFrame:
+    """Of ``checked`` (keys, issues, token of the wording that was checked), the rows whose wording has not changed since."""
+    now = segments.select(*keys, target_token(F.col("target")).alias("_now"))
+    return checked.join(now, list(keys)).where(F.col("token") == F.col("_now")).drop("_now")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the session's shared ``spark.checkpoint.dir``; in one process without that setting, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        shared = tempfile.mkdtemp(prefix="quireline-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

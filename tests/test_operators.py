@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quireline.functions import masking
 from quireline.functions.normalizing import accepted, collapsed, full_width, outer_blanks, polished
-from quireline.functions.text import key_tone, progress_bar, terminator, with_terminator_parts, without_terminator
+from quireline.functions.text import key_tone, progress_bar, target_token, terminator, with_terminator_parts, without_terminator
 from quireline.operators import checks, memory, selection
 from quireline.operators.alignment import aligned
 from quireline.operators.terms import sightings
@@ -15,7 +15,7 @@ from quireline.plans.extract import reused, segmented
 from quireline.plans.translate import repair, stub_provider, translate
 from quireline.sources import settings
 from quireline.sources.documents import decode, format_of, read_documents
-from quireline.sources.state import State, guarded
+from quireline.sources.state import State, guarded, still_true
 from quireline.streaming.ingest import stream_reuse
 
 
@@ -175,6 +175,8 @@ def test_state(spark, tmp_path):
     state.append_targets(wording.withColumn("target", F.lit("zwei")), 2)
     assert state.current().where("id = 's0001' AND lang = 'de'").first().target == "zwei"
     incoming = wording.select("doc_id", "lang", F.explode(F.array(*map(F.lit, ("s0001", "s0002", "s0003", "s9")))).alias("id"), "target", F.lit("llm:draft").alias("origin"), F.lit("stale").alias("expect"))
+    checked = wording.select("doc_id", "lang", "id", F.lit("x").alias("issues"), F.lit("").alias("token")).union(stored(spark).where("id = 's0002'").select("doc_id", "lang", "id", F.lit("y"), target_token(F.col("target"))))
+    assert [r.id for r in still_true(stored(spark), checked).collect()] == ["s0002"]
     assert {r.id: r.outcome for r in guarded(stored(spark), incoming).collect()} == {"s0001": "stale", "s0002": "refused", "s0003": "stale", "s9": "unknown"}
 
 
