@@ -8,11 +8,12 @@ import re
 from collections.abc import Sequence
 from urllib.parse import urlsplit, urlunsplit
 
+# What marks a project's folder, how deep a scan goes, which answers are worth another try, and the longest wait.
 STATE_FOLDER, CONFIG_FILE, SCAN_DEPTH = ".lx", "lx.config.json", 3
-RETRY_CODES, LONGEST_WAIT = frozenset({408, 409, 425, 429, 500, 502, 503, 504, 529}), 20.0
+RETRY_CODES, LONGEST_WAIT = frozenset({408, 409, 425, 429, 500, 502, 503, 504}), 20.0
 GLOSSARY_HEADER = "source,target,forbidden,severity\n"
 
-_LANGUAGE = re.compile(r"[A-Za-z]{2,8}(?:-[A-Za-z0-9]{1,8})*")
+_LANGUAGE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{0,34}")
 _VERSION = re.compile(r"/v[0-9]+(?:(?:alpha|beta)[0-9]*)?(?:/|$)", re.IGNORECASE)
 _RESERVED = re.compile(r"(?:con|prn|aux|nul|com[0-9]|lpt[0-9])(?:\..*)?", re.IGNORECASE)
 
@@ -24,20 +25,19 @@ def is_project(path: str) -> bool:
 
 def find_projects(root: str, depth: int = SCAN_DEPTH) -> list[str]:
     """Projects below a folder, by path; hidden folders, what lies inside a project and cycles of links are left out."""
-    found, seen, waiting = [], set(), [(root, 0)]
-    while waiting:
-        path, level = waiting.pop()
+    found: list[str] = []
+    entered: set[str] = set()
+    base = root.rstrip(os.sep).count(os.sep)
+    for path, folders, _ in os.walk(root, followlinks=True):
         real = os.path.realpath(path)
-        if real in seen:
-            continue
-        seen.add(real)
-        if is_project(path):
+        project = real not in entered and is_project(path)
+        if project:
             found.append(path)
-        elif level < depth:
-            try:
-                waiting += [(e.path, level + 1) for e in os.scandir(path) if e.is_dir() and not e.name.startswith(".")]
-            except OSError:
-                continue
+        if project or real in entered or path.count(os.sep) - base >= depth:
+            folders.clear()  # os.walk goes no deeper here
+        else:
+            folders[:] = [f for f in folders if not f.startswith(".")]
+        entered.add(real)
     return sorted(found)
 
 
