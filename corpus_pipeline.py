@@ -13,13 +13,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireline.llm import host_quality, language, packing, pii, simhash
+from quireline.llm import host_quality, language, near_copies, packing, pii
 from quireline.llm.scratch import cut, drop, recorded
 
 #: Documents of a lower pooled language probability go; an even guess over four languages has 0.25.
 MIN_LANGUAGE_SCORE = 0.3
 
-#: SQL can express neither the trained language model nor Golay keys and BPE ids; tests hold run() against brute force.
+#: SQL can express neither the trained language model nor minwise keys and BPE ids; tests hold run() against brute force.
 ORACLE_SQL = None
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -60,8 +60,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return simhash.simhash_dedup(docs)
+    """One document of each group of near copies, by five-word shingles and a similarity of 0.8 or more."""
+    return near_copies.near_copies_dedup(docs)
 
 
 @stage

@@ -66,3 +66,32 @@ def test_results_repeat(name, spark, sf_dir):
     """A second run gives the same rows."""
     once, again = (sorted(map(str, queries.queries()[name](spark, sf_dir).collect())) for _ in range(2))
     assert once == again
+
+
+def test_near_copies_by_five_words(spark):
+    """Copies with a few words replaced go, whatever their fingerprints; lesser likeness stays."""
+    import random
+
+    def plain(text):
+        words = text.lower().split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    draw = random.Random(3)
+    rows = []
+    for k in range(40):
+        words = [f"w{draw.randrange(5000)}" for _ in range(250)]
+        rows.append((10 * k, " ".join(words)))
+        for j, changed in enumerate((3, 5, 5, 20)):
+            new = words[:]
+            for at in draw.sample(range(250), changed):
+                new[at] = "other"
+            rows.append((10 * k + j + 1, " ".join(new)))
+    sets = [plain(t) for _, t in rows]
+    roots = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and roots[a] != roots[b]:
+                roots = [min(roots[a], roots[b]) if r in (roots[a], roots[b]) else r for r in roots]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {rows[r][0] for r in roots} and len(kept) < len(rows)
