@@ -685,6 +685,16 @@ def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", spaced(F.concat(F.lit("中文"), F.substring("text", 1, 40), F.lit("文字"))).alias("spaced"))
 
 
+@query(
+    "q41b_spacing_whole",
+    r"""SELECT doc_id, regexp_replace(regexp_replace('中文' || replace(text, chr(10), '文' || chr(10) || '中') || '文字', '([一-鿿])([A-Za-z0-9$])', '\1 \2', 'g'), '([A-Za-z0-9%$)])([一-鿿])', '\1 \2', 'g') AS spaced FROM documents""",
+)
+def q41b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, as q41 and its SQL hold their first 40 characters only."""
+    lines = F.replace(F.col("text"), F.lit("\n"), F.lit("文\n中"))
+    return table(spark, sf_dir, "documents").select("doc_id", spaced(F.concat(F.lit("中文"), lines, F.lit("文字"))).alias("spaced"))
+
+
 @query("q42_collapse_space", "SELECT n_nationkey, 'a ' || n_name || '  ' || chr(10) || '  b c' || chr(10) || 'd' AS collapsed FROM nation")
 def q42(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("a   "), "n_name", F.lit("    \n  b \t c \n"), F.lit("d \t"))
