@@ -2,8 +2,8 @@
 
 Strings that people write have pieces that a byte-pair vocabulary knows, random ones have not: a run
 of 20 or more characters that needs a token for every two characters or fewer is exposed as
-``random``, unless it is a digest of a known length, a UUID, a number, or made of one class of
-characters as words and constants are. Runs that touch a base span add nothing.
+``random``, unless it is a digest of a known length, a UUID or a number (a run without letters). Runs
+that touch a base span add nothing.
 
 Defined results: a null or empty text has no spans; rows come back once each, repeated or not; other
 columns are dropped first, so their names clash with nothing; an empty table gives an empty result.
@@ -36,7 +36,7 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_LENGTH
 #: Known digests (hexadecimal digits of MD5, SHA-1 and the SHA-2 family) and identifiers.
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_CLASSES = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
+_LETTER = re.compile("[A-Za-z]")
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -52,11 +52,8 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidate(run: str) -> bool:
-    """True for a run that is neither a known digest or identifier nor plainly made of words or numbers."""
-    if _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
-        return False
-    lower, upper, digits = (len(c.findall(run)) for c in _CLASSES)
-    return digits >= 3 and lower + upper >= 6 or lower >= 6 and upper >= 6 and run != run.capitalize()
+    """True for a run that is neither a known digest or identifier nor a number."""
+    return not (_DIGEST.fullmatch(run) or _UUID.fullmatch(run)) and _LETTER.search(run) is not None
 
 
 class Scanner:

@@ -367,6 +367,19 @@ def test_secret_random():
         assert exposed(clean) == [], clean
 
 
+def test_secret_random_of_few_digits():
+    """Tokens a character decide, not how many digits or cases a run has."""
+    import random
+
+    scanner = secrets.Scanner(RANKS, P.PATTERN)
+    draw = random.Random(1)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        runs = ["".join(draw.choices(alphabet, k=20)) for _ in range(300)]
+        assert sum(bool(scanner.added(r, [])) for r in runs) >= 298, alphabet
+    for clean in ("antidisestablishmentarianism", "MAX_CONNECTION_POOL_SIZE_DEFAULT", "2024-01-02/2024-05-06+11", "usr/share/doc/python3/examples"):
+        assert scanner.added(clean, []) == [], clean
+
+
 def test_secret_tricky(tricky, nothing, spark, sf_dir):
     assert secrets.scan(tricky, RANKS, P.PATTERN).count() == tricky.count() and secrets.scan(nothing, RANKS, P.PATTERN).count() == 0
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
