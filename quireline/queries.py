@@ -596,13 +596,28 @@ SELECT doc_id, 's' || lpad(pos::VARCHAR, 4, '0') AS id, CASE WHEN pos % 2 = 0 TH
 UNION ALL SELECT doc_id, 'none', 'unknown' FROM documents""",
 )
 def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = queued(spark, sf_dir).where("pos <= 2")
+    return proposed(spark, sf_dir, queued(spark, sf_dir).where("pos <= 2"))
+
+
+def proposed(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
+    """Outcomes of a proposal for each segment, on another base for every second one, and of one for a missing segment."""
     token = segment_hash(F.coalesce("target", F.lit("")))
     incoming = s.select("doc_id", "id", F.lit("new wording").alias("text"), F.when(F.col("pos") % 2 == 0, "other").otherwise(token).alias("base"))
     nobody = table(spark, sf_dir, "documents").select("doc_id", F.lit("none").alias("id"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("base"))
     return selection.apply(s, incoming.union(nobody), "de").select("doc_id", "id", "outcome")
 
 
+@query(
+    "q34b_apply_conflicts_all",
+    f"""WITH {SEGMENTS}
+SELECT doc_id, 's' || lpad(pos::VARCHAR, 4, '0') AS id, CASE WHEN pos % 2 = 0 THEN 'conflict' ELSE 'applied' END AS outcome FROM segs
+UNION ALL SELECT doc_id, 'none', 'unknown' FROM documents""",
+)
+def q34b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proposal for every segment, as q34 and its SQL hold the first two of a document only."""
+    return proposed(spark, sf_dir, queued(spark, sf_dir))
+
+
 @query("q35_stale_reports", "SELECT doc_id, lang, doc_id % 2 = 0 AS checked, doc_id % 4 = 0 AS stale FROM documents")
 def q35(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = document_rows(spark, sf_dir).select("doc_id", "lang", "segments", "translated", "errors", "warnings")
