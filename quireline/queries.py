@@ -750,17 +750,21 @@ def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.unknown_terms(found, spark.createDataFrame([("The",), ("And",)], "source string")).select("source", "count", "mid_sentence", F.array_join("examples", " ").alias("examples"))
 
 
+def markdown_text() -> Column:
+    """A heading of r_name, a quotation, a table of the nations n, a list of the parts p and a code block."""
+    return F.concat(
+        F.lit("# "), "r_name", F.lit("\n\n> A region with `code`.\n\n| nation | n |\n| --- | --- |\n"),
+        F.array_join(F.transform("n", lambda x: F.concat(F.lit("| "), x, F.lit(" | 1 |\n"))), ""), F.lit("\n"),
+        F.array_join(F.transform("p", lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""), F.lit("\n```\ncode\n```\n"),
+    )
+
+
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown document for each region: a heading, a quotation, a table of its nations and a list of parts."""
     nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("n"))
     parts = table(spark, sf_dir, "part").where("p_partkey < 50").groupBy((F.col("p_partkey") % 5).cast("int").alias("r_regionkey")).agg(F.array_sort(F.collect_list("p_name")).alias("p"))
     rows = table(spark, sf_dir, "region").join(nations, "r_regionkey").join(parts, "r_regionkey")
-    text = F.concat(
-        F.lit("# "), "r_name", F.lit("\n\n> A region with `code`.\n\n| nation | n |\n| --- | --- |\n"),
-        F.array_join(F.transform("n", lambda x: F.concat(F.lit("| "), x, F.lit(" | 1 |\n"))), ""), F.lit("\n"),
-        F.array_join(F.transform("p", lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""), F.lit("\n```\ncode\n```\n"),
-    )
-    return rows.select(F.col("r_regionkey").cast("long").alias("doc_id"), "n", "p", text.alias("text"))
+    return rows.select(F.col("r_regionkey").cast("long").alias("doc_id"), "n", "p", markdown_text().alias("text"))
 
 
 @query(
@@ -782,6 +786,35 @@ def q46b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("same"), "missing")
 
 
+def markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown document like those of ``markdown`` for each run of 100 part keys, so that every part is in one."""
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("n"))
+    regions = table(spark, sf_dir, "region").join(nations, "r_regionkey")
+    runs = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 100").alias("doc_id")).agg(F.array_sort(F.collect_list("p_name")).alias("p"))
+    rows = runs.join(F.broadcast(regions), F.col("doc_id") % 5 == F.col("r_regionkey"))
+    return rows.select("doc_id", markdown_text().alias("text"))
+
+
+@query(
+    "q46c_markdown_segments_all",
+    """WITH n AS (SELECT n_regionkey AS k, count(*) AS c FROM nation GROUP BY 1), p AS (SELECT (p_partkey // 100)::BIGINT AS d, count(*) AS c FROM part GROUP BY 1),
+r AS (SELECT d, n.c AS nations, p.c AS parts FROM p JOIN region ON r_regionkey = d % 5 JOIN n ON n.k = r_regionkey)
+SELECT d AS doc_id, kind, n FROM (SELECT d, 'heading' AS kind, 1::BIGINT AS n FROM r UNION ALL SELECT d, 'quote', 1 FROM r UNION ALL SELECT d, 'cell', nations + 2 FROM r UNION ALL SELECT d, 'list', parts FROM r)""",
+)
+def q46c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts, as q46 and its SQL hold 49 only."""
+    found = segments_of(segment_markdown(markdown_parts(spark, sf_dir)), "doc_id")
+    return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q46d_markdown_round_trip_all", "SELECT DISTINCT (p_partkey // 100)::BIGINT AS doc_id, true AS same FROM part")
+def q46d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = segment_markdown(markdown_parts(spark, sf_dir))
+    blocks = rendering.render_blocks(nodes_of(cut, "doc_id"), segments_of(cut, "doc_id").withColumn("target", F.lit(None).cast("string")), fallback=True, keys=("doc_id",))
+    back = rendering.render(blocks, keys=("doc_id",)).withColumnRenamed("text", "back")
+    return cut.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("same"))
+
+
 @query("q47_reseat")
 def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = lambda *xs: masking.plain_slots(F.array(*map(F.lit, xs)))
