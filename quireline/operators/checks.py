@@ -220,15 +220,18 @@ def glossary(source: Column, target: Column, rows: Sequence[Mapping]) -> Column:
 def glossary_issues(pairs: DataFrame, rows: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """One row for each glossary issue of pairs, by a join for glossaries too long to be literals.
 
-    A row's term begins with a word; pairs are joined on the words they hold, each once, then verified.
-    Terms that begin with no letter or digit are few and are tested as literals by ``glossary``.
+    Pairs are joined on the keys they hold, each once, then verified. A term that begins with an ASCII letter
+    has its first run of them as key, as no such letter may stand beside a match; any other has its first two
+    characters, or the one it has. Each pair holds the key of the empty term.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(source), F.lit(r"[\p{L}\p{N}]+"), 0))
-    keyed = pairs.withColumn("_word", F.explode(F.transform(words, lambda w: w)))
+    low = F.lower(source)
+    every = lambda pattern, group: F.regexp_extract_all(low, F.lit(pattern), F.lit(group))
+    keys = F.array_distinct(F.concat(every("[A-Za-z]+", 0), every("(?s)(?=([^A-Za-z].))", 1), every("[^A-Za-z]", 0), F.array(F.lit(""))))
+    keyed = pairs.withColumn("_word", F.explode(F.transform(keys, lambda w: w)))
     terms = rows.select(
         F.lower("source").alias("_term"), F.col("target").alias("_want"), F.col("forbidden").alias("_bad"), F.col("severity").alias("_severity"),
-        F.regexp_extract(F.lower("source"), r"[\p{L}\p{N}]+", 0).alias("_word"),
-    ).where("_word <> ''")
+        F.regexp_extract(F.lower("source"), r"(?s)^(?:[A-Za-z]+|[^A-Za-z].?)", 0).alias("_word"),
+    )
     quoted = F.concat(F.lit(r"(?<![A-Za-z])\Q"), F.col("_term"), F.lit(r"\E(?![A-Za-z])"))
     hit = keyed.join(terms, "_word").where(F.regexp_like(F.lower(F.col(source)), quoted))
     wanted = hit.where((F.col("_want") != "") & ~F.contains(F.col(target), F.col("_want"))).select(*pairs.columns, F.col("_term").alias("term"), F.col("_severity").alias("severity"), F.col("_want").alias("wording"), F.lit("required").alias("issue"))

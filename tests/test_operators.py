@@ -258,3 +258,20 @@ def test_exports(spark):
     nodes = spark.createDataFrame([("d", "de", 1, "seg", None, "s0001"), ("d", "de", 2, "raw", "\n", None), ("d", "de", 3, "seg", None, "s0002")], "doc_id string, lang string, pos int, t string, v string, seg_id string")
     out = rendered(documents, nodes, s).first()
     assert (out.path, out.text, out.missing) == ("i18n/de/x/y.txt", "[untranslated s0001]\r\nGuten Tag", 1)
+
+
+def test_glossary_join_finds_what_the_rule_finds(spark):
+    """Terms beside digits, accents and CJK, and terms without letters or digits, as the literal rule has them."""
+    from pyspark.sql import functions as F
+
+    from quireline.operators import checks
+
+    terms = ["of", "that", "文字", "字", "c++", "→", "→→", "2nd", "été", "new of", "% off", "🙂a"]
+    texts = ["of2 off", "éthat thatx", "這是中文字句", "a C++ b", "x→y", "a →→ b", "the 2nd 22nd", "l'été", "new of3 renew of", "5% off % offer", "🙂a 🙂ab", "", "of\n文\n字"]
+    pairs = spark.createDataFrame(list(enumerate(texts)), "id int, source string").withColumn("target", F.lit("-"))
+    rows = spark.createDataFrame([(t, "W", ["-"], "warn") for t in terms], "source string, target string, forbidden array<string>, severity string")
+    joined = sorted((r.id, r.severity, r.term) for r in checks.glossary_issues(pairs, rows).collect())
+    rule = checks.glossary(F.col("source"), F.col("target"), [{"source": t, "target": "W", "forbidden": ["-"], "severity": "warn"} for t in terms])
+    literal = pairs.select("id", F.inline(rule)).collect()
+    told = lambda r: next(t for t in sorted(terms, key=len, reverse=True) if repr(t) in r.message)
+    assert joined == sorted((r.id, r.severity, told(r)) for r in literal) and {r[2] for r in joined} == set(terms)
