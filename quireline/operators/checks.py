@@ -25,6 +25,8 @@ NUMBER = r"\p{Nd}+(?:\.\p{Nd}+)?"
 # What each host allows: kinds that are inline, and kinds that may not gain lines.
 INLINE_KINDS = {"markdown": ("heading", "cell"), "text": (), "text-line": ()}
 ONE_LINE_KINDS = {"markdown": ("heading", "quote", "cell"), "text": ("heading",), "text-line": ("heading", "para")}
+#: Glossary terms up to which they are broadcast.
+MAX_BROADCAST = 100_000
 XML_HOSTS = ("xml", "xhtml")
 # What a line opens in Markdown, tested in this order on the line without its leading white space.
 BLOCKS = (
@@ -233,7 +235,8 @@ def glossary_issues(pairs: DataFrame, rows: DataFrame, source: str = "source", t
         F.regexp_extract(F.lower("source"), r"(?s)^(?:[A-Za-z]+|[^A-Za-z].?)", 0).alias("_word"),
     )
     quoted = F.concat(F.lit(r"(?<![A-Za-z])\Q"), F.col("_term"), F.lit(r"\E(?![A-Za-z])"))
-    hit = keyed.join(terms, "_word").where(F.regexp_like(F.lower(F.col(source)), quoted))
+    few = terms.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST  # else keys and terms are shuffled, each key with its pair
+    hit = keyed.join(F.broadcast(terms) if few else terms, "_word").where(F.regexp_like(F.lower(F.col(source)), quoted))
     wanted = hit.where((F.col("_want") != "") & ~F.contains(F.col(target), F.col("_want"))).select(*pairs.columns, F.col("_term").alias("term"), F.col("_severity").alias("severity"), F.col("_want").alias("wording"), F.lit("required").alias("issue"))
     banned = hit.select("*", F.explode("_bad").alias("_word_bad")).where(F.contains(F.col(target), F.col("_word_bad"))).select(*pairs.columns, F.col("_term").alias("term"), F.lit("error").alias("severity"), F.col("_word_bad").alias("wording"), F.lit("forbidden").alias("issue"))
     return wanted.union(banned)
