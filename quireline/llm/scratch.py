@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,11 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
-_RECORDS: list[list[str]] = []
+_RECORDS = threading.local()  # jobs of several threads keep their tables apart
+_AT_EXIT: set[str] = set()
 #: Rows that an Arrow function handles together.
 TOGETHER = 256
 
 
+def _record_stack() -> list[list[str]]:
+    return _RECORDS.__dict__.setdefault("stack", [])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
@@ -41,21 +47,34 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     time, so ids made by ``monotonically_increasing_id`` before the cut are stable after it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quireline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/quireline/{spark.sparkContext.applicationId}"
+    _delete_at_exit(spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _RECORDS:
-        _RECORDS[-1].append(path)
+    if records := _record_stack():
+        records[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the driver's file system delete an application's folder when the driver ends; until then results may read it."""
+    if folder not in _AT_EXIT:
+        _AT_EXIT.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        system.mkdirs(path)  # what does not exist yet cannot be marked
+        system.deleteOnExit(path)
+
+
 @contextlib.contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The paths of tables that are cut inside the block."""
-    _RECORDS.append(made := [])
+    """The paths of tables that are cut inside the block, but for those of a block within it."""
+    records = _record_stack()
+    records.append(made := [])
     try:
         yield made
     finally:
-        _RECORDS.remove(made)
+        records.pop()
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:

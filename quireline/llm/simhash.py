@@ -14,8 +14,9 @@ word lies within one bit of both, so each is sent to itself and its 64 neighbour
 meet at a word (65 at most) are linked. No link between different fingerprints is lost.
 
 Defined results: a null, empty or blank text has fingerprint zero, which is linked like any other;
-a null doc_id is never the name of a component unless all of its documents have none; repeated rows
-come back once each; an empty table gives an empty result.
+a text of any length counts whole; a null doc_id is never the name of a component unless all of its
+documents have none; repeated rows come back once each; other columns are dropped first or come back
+inside one struct, so their names clash with nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quireline.llm import golay
 from quireline.llm.components import components
-from quireline.llm.scratch import arrow_function, cut, small
+from quireline.llm.scratch import arrow_function, cut, drop, recorded, small
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
 #: Bits and first bit of each segment.
@@ -42,17 +43,25 @@ MAX_BROADCAST = 1_000_000
 _BLOCK = 1 << 14
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
+
+
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The hash of each shingle of so many words, repeats included; fewer words are one shingle, none have none."""
+    size = min(size, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))], dtype="<u8")
+
+
 def fingerprint(text: str | None) -> int:
     """The 64-bit fingerprint of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return fingerprint_of(shingle_hashes(words_of(text), SHINGLE))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that over half of some hashes have; zero for none."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), _BLOCK):
         ones += np.unpackbits(hashes[k : k + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -130,13 +139,15 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, carry: Sequence[str] = (), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The table of ``fingerprints`` and, for each distinct _fp, its component_id and the _row of the document to keep."""
     rows = fingerprints(docs, carry, doc_id, text)
-    first = F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    distinct = cut(rows.groupBy("_fp").agg(first.alias("_first")), "distinct")
-    joined = components(links(distinct))
-    named = distinct.join(joined, F.col("_fp") == F.col("node"), "left").select("_fp", "_first", F.coalesce("component", "_fp").alias("_component"))
-    named = cut(named, "named")
-    firsts = cut(named.groupBy("_component").agg(F.min("_first").alias("_least")), "firsts")
+    with recorded() as passing:
+        first = F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+        distinct = cut(rows.groupBy("_fp").agg(first.alias("_first")), "distinct")
+        joined = components(links(distinct))
+        named = distinct.join(joined, F.col("_fp") == F.col("node"), "left").select("_fp", "_first", F.coalesce("component", "_fp").alias("_component"))
+        named = cut(named, "named")
+        firsts = cut(named.groupBy("_component").agg(F.min("_first").alias("_least")), "firsts")
     classes = cut(named.select("_fp", "_component").join(firsts, "_component").select("_fp", F.col("_least.id").alias("component_id"), F.col("_least.row").alias("_keep")), "classes")
+    drop(docs.sparkSession, passing)
     return rows, classes
 
 
