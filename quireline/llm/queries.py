@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quireline.llm import bpe, hash_tree, host_quality, language, packing, pii, secrets, simhash, topk, toxicity
 
 SHARDS = 8
+#: Of each shard, the one after growth included.
+WEIGHTS = [1.0] * (SHARDS + 1)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hash_tree.shard(_documents(spark, sf_dir), [1.0] * (SHARDS + 1), SHARDS)
+    return hash_tree.shard(_documents(spark, sf_dir), WEIGHTS, SHARDS)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUALITY_SQL = r"""
+_QUALITY_SQL = r"""
 WITH cut AS (
   SELECT doc_id, source, row_number() OVER () AS r, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -87,26 +89,48 @@ WITH cut AS (
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
 ), hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM judged GROUP BY source
+  SELECT rule, source, count(*) AS n, count(*) FILTER (WHERE failed) AS f
+  FROM (SELECT source, x.rule AS rule, x.failed AS failed FROM (SELECT source, unnest([{rules}]) AS x FROM judged)) GROUP BY rule, source
+), sums AS (
+  SELECT rule, count(*) AS h, sum(n) AS docs, sum(n * n)::DOUBLE AS nn, sum(f) / sum(n) AS m, sum(f * f / n) - sum(f) * sum(f) / sum(n) AS spread FROM hosts GROUP BY rule
 ), moments AS (
-  SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts
+  SELECT rule, m, CASE WHEN docs - nn / docs > h - 1 THEN (spread - (h - 1) * m * (1 - m)) / (docs - nn / docs - (h - 1)) ELSE 0 END AS v FROM sums
 ), prior AS (
-  SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 100.0 END AS k FROM moments
+  SELECT rule, m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 100.0 END AS k FROM moments
 ), verdicts AS (
-  SELECT source, (f + m * k) / (n + k) > 0.5 AS host_failed FROM hosts, prior
+  SELECT source, bool_or((f + m * k) / (n + k) > 0.5) AS host_failed FROM hosts JOIN prior USING (rule) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT host_failed AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
-_MD5 = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/{name}'), 1, {digits}))::BIGINT"
-_DRAW = "-ln((" + _MD5 + " + 1) / 4503599627370496.0)"
 
+def quality_sql(documents: str = "documents") -> str:
+    """SQL for ``host_quality``."""
+    rules = ", ".join(f"{{'rule': '{name}', 'failed': {rule}}}" for name, rule in host_quality.RULES.items())
+    return _QUALITY_SQL.format(documents=documents, rules=rules)
 
-def _argmin(n: int) -> str:
-    draws = ", ".join(_DRAW.format(name=s, digits=13) for s in range(n))
-    return f"(list_position([{draws}], list_min([{draws}])) - 1)::INTEGER"
+
+_MD5 = "('0x' || substr(md5({key} || '/' || {path}), 1, {digits}))::BIGINT"
+
+
+def _least_child(key: str, prefix: str, weights: str) -> str:
+    """SQL for the number (from 0) of the child of least draw; ``weights``: a list."""
+    unit = _MD5.format(key=key, path=f"{prefix} || i", digits=13)
+    draws = f"list_transform(range(len({weights})), lambda i: -ln(({unit} + 1) / 4503599627370496.0) / ({weights})[i + 1])"
+    return f"(list_position({draws}, list_min({draws})) - 1)"
+
+
+def descent_sql(name: str, weights: list[float], source: str) -> str:
+    """Tables that give each row r of ``source`` (r, key) its shard ``name``, a level at a time."""
+    tree = hash_tree.tree_of(weights)
+    regions, racks = [sum(map(sum, g)) for g in tree], [[sum(r) for r in g] for g in tree]
+    shards = f"{tree}[region + 1][rack + 1]"
+    return f"""
+{name}_regions AS (SELECT r, key, {_least_child("key", "''", str(regions))} AS region FROM {source}),
+{name}_racks AS (SELECT *, {_least_child("key", "region || '.'", f"{racks}[region + 1]")} AS rack FROM {name}_regions),
+{name}_leaves AS (SELECT r, ((region * {hash_tree.RACKS} + rack) * {hash_tree.SHARDS} + {_least_child("key", "region || '.' || rack || '.'", shards)})::INTEGER AS {name} FROM {name}_racks)"""
 
 
 #: CRC-32 of bytes, by the reflected polynomial 0xEDB88320.
@@ -117,23 +141,26 @@ _CRC_TABLE = """
 """
 
 
-SHARD_SQL = f"""
-WITH crc AS ({_CRC_TABLE}), rows AS (
-  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h,
-         {_argmin(SHARDS)} AS shard, {_argmin(SHARDS + 1)} AS grown_shard,
-         {_MD5.format(name="part", digits=8)} % {hash_tree.PARTS} AS part
-  FROM documents
+def shard_sql(weights: list[float], shards: int, documents: str = "documents") -> str:
+    """SQL for ``hash_tree.shard``."""
+    part = _MD5.format(key="concat_ws('/', key, size, text_crc32)", path="'part'", digits=8)
+    return f"""
+WITH crc AS ({_CRC_TABLE}), keyed AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+         regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h
+  FROM {documents}
 ), summed AS (
-  SELECT rows.*, xor(4294967295, list_reduce(
+  SELECT keyed.*, xor(4294967295, list_reduce(
            list_transform(h, lambda x: ('0x' || x)::BIGINT),
            lambda c, x: xor(c // 256, crcs[xor(c % 256, x) + 1]), 4294967295::BIGINT)) AS text_crc32
-  FROM rows, crc
-)
+  FROM keyed, crc
+), {descent_sql("shard", weights[:shards], "keyed")}, {descent_sql("grown_shard", weights, "keyed")}
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
-FROM summed
+       row_number() OVER (PARTITION BY shard ORDER BY {part} % {hash_tree.PARTS}, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+FROM summed JOIN shard_leaves USING (r) JOIN grown_shard_leaves USING (r)
 """
 
+
 TOPK_SQL = """
 WITH rows AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
@@ -145,7 +172,7 @@ WITH rows AS (
 )
 SELECT query_id, rank, vec_id, score FROM (
   SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
-) WHERE rank <= 10
+) WHERE rank <= 20
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -164,4 +191,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": QUALITY_SQL.format(documents="documents"), "op6_topk": TOPK_SQL, "op8_shard": SHARD_SQL}
+    return {"op2_quality": quality_sql(), "op6_topk": TOPK_SQL, "op8_shard": shard_sql(WEIGHTS, SHARDS)}
