@@ -1,12 +1,15 @@
 """Host-level quality rules, in DataFrame functions only.
 
-Each document gets word statistics and the verdict ``base_failed``. Failures are then counted by
-host, every host's failure rate is shrunk toward a beta prior fitted to all hosts (method of
-moments), and documents of a host whose shrunk rate is too high are rejected with it.
-
-Defined results: a null text has no words (``base_failed``); rows with a null host form one host;
-repeated rows count, and come back, once each; an empty table gives an empty result. Carried
-columns come back inside one struct, so their names clash with nothing.
+Each document gets word statistics and fails or passes each of five rules (``RULES``). Failures are
+counted by host and rule. For each rule a beta prior is fitted to all hosts: its mean is the share of
+all documents that fail, its strength follows from how much more the hosts' rates differ than
+sampling alone would have them differ, hosts weighing by their documents. Each host's rate is shrunk
+toward it, and a host with a shrunk rate above one half for any rule is rejected with all its documents.
+
+Defined results: a null text has no words (``base_failed``); a text of any length is read whole, as one
+row's arrays; a shrunk rate of exactly one half passes; rows with a null host form one host; repeated
+rows count, and come back, once each; an empty table gives an empty result. Carried columns come back
+inside one struct, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -26,8 +29,16 @@ SYMBOLS = "#*$%&|<>"
 MAX_HOST_RATE = 0.5
 #: Hosts up to which their verdicts are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 100_000
-#: Pseudo-documents of the prior when all hosts have one and the same rate.
+#: Pseudo-documents of the prior where hosts differ no more than sampling has them differ.
 FALLBACK_STRENGTH = 100.0
+#: The rules: SQL over ``BASE`` that is true for a document which fails. The first two make up ``base_failed``.
+RULES = {
+    "short": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "5 * n_dup_lines > n_words",
+    "word_length": "word_chars < 3 * n_words OR word_chars > 12 * n_words",
+}
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -82,22 +93,38 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": _repeat_words(F.col("_windows")).cast("long"),
         }
-    ).drop("_words", "_windows", "_lines").withColumn(
-        "base_failed",
-        (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-    )
+    ).drop("_words", "_windows", "_lines").withColumn("base_failed", F.expr(RULES["short"]) | F.expr(RULES["repeats"]))
 
 
 def host_verdicts(judged: DataFrame, host: str = "_host", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row for each host: documents, failures, shrunk rate and ``host_failed``."""
-    hosts = judged.groupBy(host).agg(F.count(F.lit(1)).alias("_docs"), F.count_if("base_failed").alias("_fails"))
-    rate = F.col("_fails") / F.col("_docs")
-    mean, var = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers, however many hosts there are
-    mean, var = mean or 0.0, var or 0.0
-    strength = mean * (1 - mean) / var - 1 if var > 0 else FALLBACK_STRENGTH
-    strength = strength if strength > 0 else FALLBACK_STRENGTH
-    shrunk = (F.col("_fails") + F.lit(mean * strength)) / (F.col("_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_failed", shrunk > max_rate)
+    """One row for each host: its documents, the shrunk rate of each rule, ``host_rate`` (the highest) and ``host_failed``."""
+    fails = [F.count_if(F.expr(rule)).alias(f"_{name}") for name, rule in RULES.items()]
+    hosts = cut(judged.groupBy(host).agg(F.count(F.lit(1)).alias("_docs"), *fails), "hosts")
+    sums = [F.sum(x).alias(n) for name in RULES for n, x in ((f"f_{name}", F.col(f"_{name}")), (f"q_{name}", F.col(f"_{name}") * F.col(f"_{name}") / F.col("_docs")))]
+    all_ = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("_docs").alias("n"), F.sum(F.col("_docs") * F.col("_docs")).cast("double").alias("nn"), *sums).first()  # a few numbers, however many hosts there are
+    rates = {}
+    for name in RULES:
+        mean, strength = prior(all_["h"], all_["n"] or 0, all_["nn"] or 0.0, all_[f"f_{name}"] or 0, all_[f"q_{name}"] or 0.0)
+        rates[f"rate_{name}"] = (F.col(f"_{name}") + F.lit(mean * strength)) / (F.col("_docs") + F.lit(strength))
+    out = hosts.withColumns(rates).withColumn("host_rate", F.greatest(*rates))
+    return out.withColumn("host_failed", F.col("host_rate") > max_rate)
+
+
+def prior(hosts: int, docs: int, squares: float, fails: int, weighted: float) -> tuple[float, float]:
+    """Mean and strength of the beta prior by weighted moments.
+
+    ``squares`` is the sum over hosts of documents squared, ``weighted`` that of failures squared by
+    documents. Of the weighted squares of the rates around their mean, what sampling gives is taken
+    off; what is left is the variance between hosts.
+    """
+    if not docs:
+        return 0.0, FALLBACK_STRENGTH
+    mean = fails / docs
+    spread = weighted - fails * fails / docs
+    room = docs - squares / docs
+    between = (spread - (hosts - 1) * mean * (1 - mean)) / (room - (hosts - 1)) if room > hosts - 1 else 0.0
+    strength = mean * (1 - mean) / between - 1 if between > 0 else 0.0
+    return mean, strength if strength > 0 else FALLBACK_STRENGTH
 
 
 def host_quality(docs: DataFrame, carry: Sequence[str], text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
