@@ -2,8 +2,10 @@
 
 A piece (one match of the pattern that splits text) is encoded by halves: each half recursively,
 then the two token lists are joined. To join, the bytes of a window of tokens around the seam are
-encoded afresh and the window grows on whichever side has not settled. A side has settled when the
-token outside it and the window's outermost token, encoded together, stay these two tokens.
+encoded afresh. A side has settled when the token outside it and the window's outermost token, encoded
+together, stay these two tokens. While the left side has not, the window grows there; while the right
+side has not, the window's tokens are taken over and the next window lies at the new seam, so text
+whose tokens shift all the way (long runs of one character) costs its length and not its square.
 
 Why nothing outside can change then: let every two adjacent tokens of a list encode, together, to
 just these two. Were the list not the encoding of all its bytes, some first merge would cross from
@@ -14,7 +16,8 @@ the whole list right, and an inner pair of an encoded list is always settled.
 Decoding concatenates the tokens' bytes up the same kind of tree.
 
 Defined results: a null or empty text has no tokens, and its ids and decoded bytes are the empty
-string (their SHA-256 is that of no bytes); rows come back once each, repeated or not; other columns
+string (their SHA-256 is that of no bytes); a text or piece of any length is encoded whole, in time
+about in proportion; rows come back once each, repeated or not; other columns
 of the input are dropped first, so their names clash with nothing; an empty table gives an empty result.
 """
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
@@ -32,6 +36,8 @@ from quireline.llm.scratch import arrow_function
 
 #: Pieces of at most so many bytes are merged directly.
 LEAF = 16
+#: Windows of at most so many bytes are merged by looking through all their pairs; longer ones by a heap.
+DIRECT = 128
 #: Tokens taken from either side of a seam at first.
 WINDOW = 2
 #: A task's memory of pieces and pairs is emptied beyond so many entries.
@@ -46,6 +52,7 @@ class TreeBPE:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.memory = memory
         self._settled: dict[tuple[int, int], bool] = {}
+        self._windows: dict[tuple[int, ...], list[int]] = {}
 
     @classmethod
     def load(cls, path: str) -> TreeBPE:
@@ -54,6 +61,8 @@ class TreeBPE:
 
     def _merged(self, data: bytes) -> list[int]:
         """The definition: merge the adjacent pair of least rank, the leftmost first, while any pair has a rank."""
+        if len(data) > DIRECT:
+            return self._merged_by_heap(data)
         parts = [data[k : k + 1] for k in range(len(data))]
         ranks, none = self.ranks, len(self.ranks) + (1 << 40)
         pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
@@ -67,6 +76,44 @@ class TreeBPE:
                 pairs[k - 1] = ranks.get(parts[k - 1] + parts[k], none)
         return [ranks[p] for p in parts]
 
+    def _merged_by_heap(self, data: bytes) -> list[int]:
+        """The same for long windows: parts are (first, end) in a linked list, pairs wait in a heap by rank and place."""
+        ranks, n = self.ranks, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at each place; end 0: none does
+        heap = [(r, k, k + 2) for k in range(n - 1) if (r := ranks.get(data[k : k + 2])) is not None]
+        heapify(heap)
+
+        def offer(first: int) -> None:
+            middle = end[first]
+            if middle < n and (r := ranks.get(data[first : end[middle]])) is not None:
+                heappush(heap, (r, first, end[middle]))
+
+        while heap:
+            _, first, last = heappop(heap)
+            middle = end[first]
+            if not middle or middle == n or end[middle] != last:
+                continue  # one of its parts has been merged since
+            end[first], end[middle] = last, 0
+            if last < n:
+                before[last] = first
+            offer(first)
+            if before[first] >= 0:
+                offer(before[first])
+        out, at = [], 0
+        while at < n:
+            out.append(ranks[data[at : end[at]]])
+            at = end[at]
+        return out
+
+    def _window(self, tokens: tuple[int, ...]) -> list[int]:
+        """The encoding of the bytes of a few tokens; what was encoded before is known."""
+        found = self._windows.get(tokens)
+        if found is None:
+            if len(self._windows) >= self.memory:
+                self._windows.clear()
+            found = self._windows[tokens] = self._merged(b"".join(map(self.tokens.__getitem__, tokens)))
+        return found
+
     def _stays(self, left: int, right: int) -> bool:
         """True if two tokens, encoded together, stay these two."""
         found = self._settled.get((left, right))
@@ -78,26 +125,28 @@ class TreeBPE:
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings, one after the other."""
-        if not left or not right:
-            return left or right
-        if self._stays(left[-1], right[0]):
-            return left + right
-        tokens, a, b = self.tokens, WINDOW, WINDOW
-        while True:
-            a, b = min(a, len(left)), min(b, len(right))
-            window = self._merged(b"".join(tokens[t] for t in left[len(left) - a :] + right[:b]))
-            free_left = a < len(left) and not self._stays(left[-a - 1], window[0])
-            free_right = b < len(right) and not self._stays(window[-1], right[b])
-            if not free_left and not free_right:
-                return left[: len(left) - a] + window + right[b:]
-            a, b = a * (1 + free_left), b * (1 + free_right)
+        done, at = left, 0
+        while done and at < len(right) and not self._stays(done[-1], right[at]):
+            if done is left:
+                done = left.copy()
+            a, stop = WINDOW, min(at + WINDOW, len(right))
+            while True:
+                a = min(a, len(done))
+                window = self._window((*done[len(done) - a :], *right[at:stop]))
+                if a == len(done) or self._stays(done[-a - 1], window[0]):
+                    break
+                a *= 2
+            done[len(done) - a :], at = window, stop
+        return done + right[at:]
 
     def tree(self, data: bytes) -> list[int]:
-        """The encoding of bytes by halves."""
+        """The encoding of bytes by halves; of halves that are equal one is encoded."""
         if len(data) <= LEAF:
             return self._merged(data)
         half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        first, second = data[:half], data[half:]
+        left = self.tree(first)
+        return self.join(left, left if second == first else self.tree(second))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The tokens of one piece; a piece that is a token is that token."""
