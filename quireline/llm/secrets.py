@@ -5,8 +5,10 @@ of 20 or more characters that needs a token for every two characters or fewer is
 ``random``, unless it is a digest of a known length, a UUID or a number (a run without letters). Runs
 that touch a base span add nothing.
 
-Defined results: a null or empty text has no spans; rows come back once each, repeated or not; other
-columns are dropped first, so their names clash with nothing; an empty table gives an empty result.
+Defined results: a null or empty text has no spans; a text or run of any length is read whole, in one
+pass for each kind; spans of one start are in the order of kinds, and base spans of different kinds may
+overlap; rows come back once each, repeated or not; other columns are dropped first, so their names
+clash with nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,10 +70,14 @@ class Scanner:
         self.max_ratio = max_ratio
 
     def added(self, text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-        out = []
+        """Random runs apart from the base spans, which come by start: both lists are walked together."""
+        out, at, reached = [], 0, 0
         for m in _RUN.finditer(text):
             start, end = m.span()
-            if any(s < end and start < e for s, _, e in base) or not candidate(run := m[0]):
+            while at < len(base) and base[at][0] < end:
+                reached = max(reached, base[at][2])
+                at += 1
+            if start < reached or not candidate(run := m[0]):
                 continue
             if len(run) <= self.max_ratio * len(self.encode(run)):
                 out.append((start, RANDOM, end))
