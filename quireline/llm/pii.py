@@ -1,36 +1,47 @@
 """Personal data by base patterns and bootstrapped contextual extraction.
 
-Base matches (email, ip, card, phone) are the seeds. A lexical pattern is a cue right before a value:
-a word and one of the marks ``: = #``. Seeds behind a cue induce its pattern; the same pattern finds
-other identifiers (a run with two digits or more). Patterns and instances form a graph whose edges
-count hits over all documents, and Spark scores both sides in turn:
-
-- a pattern's confidence is the share, smoothed, of all places with its cue whose value scores;
-- an instance's score is 1 for a seed, else the noisy-or of its patterns' confidences.
-
-After ``ROUNDS`` rounds, identifiers behind patterns of ``MIN_CONFIDENCE`` or more that have
-``MIN_SEEDS`` different seeds or more are added with kind ``context``.
-
-Defined results: a null or empty text has no spans; a null doc_id is kept; rows come back once each,
-repeated or not; other columns are dropped first or come back inside one struct, so their names clash
-with nothing; an empty table gives an empty result.
+Base matches (email, ip, card, phone) are the seeds. Every other identifier-like run of a text (six
+characters or more, three digits or more) is a candidate. Seeds and candidates alike show lexical
+patterns of what stands around them: up to three words and marks on the left, one of them with the word on the
+right, and the letters a value begins with. Patterns and instances form a graph whose edges count hits
+over all documents, and Spark scores both sides in turn:
+
+- an instance's score is 1 for a seed, else the noisy-or of its trusted patterns' confidences;
+- a pattern's confidence is the share, smoothed, of its hits whose instance scores; its support is the
+  number of different instances that score ``MIN_CONFIDENCE`` or more, discovered ones included;
+- a pattern of ``MIN_CONFIDENCE`` and ``MIN_SUPPORT`` or more is trusted.
+
+Each round may so reach patterns that no seed stands in. After ``ROUNDS`` rounds, candidates in trusted
+patterns are added with kind ``context``. Patterns and instances are compared by their XXH64 values.
+
+Defined results: a null or empty text has no spans; a text, a word of a context and a value of any
+length count whole (an added span ends where its run ends); added spans overlap neither each other nor
+base spans, and come after these, by start; one that a document shows again is added again; a null
+doc_id is kept; rows come back once each, repeated or not (repeats count as hits, not as support);
+other columns are dropped first or come back inside one struct, so their names clash with nothing; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireline.llm.scratch import arrow_function, cut, small
+from quireline.llm.scratch import arrow_function, cut, drop, recorded, small
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-#: Rows with added spans up to which they are broadcast; more are joined by a shuffle.
+#: Rows with added spans, and trusted patterns, up to which they are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 100_000
-ROUNDS, MIN_CONFIDENCE, MIN_SEEDS, SMOOTHING = 3, 0.5, 3, 1.0
+ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, SMOOTHING = 3, 0.5, 3, 1.0
+#: What makes a run a candidate: so many characters and digits.
+MIN_LENGTH, MIN_DIGITS = 6, 3
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -38,9 +49,9 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[:=#](?=[\x20\"'(+A-Za-z0-9])")
-_CUE = re.compile(r"[^\s\d:=#\"'(]{2,24}\x20?\Z")
-_VALUE = re.compile(r"[\x20\"'(]{0,3}([A-Za-z0-9+][A-Za-z0-9@._+/()-]{3,39})")
+_RUN = re.compile(r"(?<![\w.@+/-])[A-Za-z0-9]++(?:[._@+/-]++[A-Za-z0-9]++)*+(?!\w)")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+_BEGINNING = re.compile(r"[A-Za-z][^0-9]*")
 
 
 def luhn(digits: str) -> bool:
@@ -82,38 +93,64 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def cues(text: str, base: Sequence[tuple[str, int, int]]) -> list[tuple[str, str | None, int, int, bool]]:
-    """(pattern, instance or None, start, end, seed) for each cue of the text."""
-    seeds = {s: e for _, s, e in base}
+def candidates(text: str, base: Sequence[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like runs that touch no base span; both lists are walked together by start."""
+    spans = sorted((s, e) for _, s, e in base)
+    out, at, reached = [], 0, 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        while at < len(spans) and spans[at][0] < end:
+            reached = max(reached, spans[at][1])
+            at += 1
+        if start >= reached and end - start >= MIN_LENGTH and len(_DIGIT.findall(text, start, end)) >= MIN_DIGITS:
+            out.append((start, end))
+    return out
+
+
+def _told(token: str) -> str:
+    """A token of a context: in lower case, one with several digits only as such."""
+    return "<number>" if len(_DIGIT.findall(token)) >= 2 else token.lower()
+
+
+def patterns(text: str, starts: array, start: int, end: int) -> list[str]:
+    """The patterns of the value at start to end; ``starts``: where the text's words and marks begin."""
+    first, after = bisect_left(starts, start), bisect_left(starts, end)
+    token = lambda k: _told(_TOKEN.match(text, starts[k])[0])
+    left = [token(k) for k in range(max(0, first - 3), first)]
     out = []
-    for m in _MARK.finditer(text):
-        cue = _CUE.search(text, max(0, m.start() - 26), m.start())
-        if cue is None or cue.start() and not text[cue.start() - 1].isspace() and text[cue.start() - 1] not in "\"'(":
-            continue
-        pattern = cue[0].strip().lower() + m[0]
-        value = _VALUE.match(text, m.end())
-        if value is None:
-            out.append((pattern, None, 0, 0, False))
-            continue
-        start, end = value.span(1)
-        if start in seeds:
-            out.append((pattern, text[start : seeds[start]], start, seeds[start], True))
-            continue
-        run = value[1].rstrip("@._+/()-")
-        end = start + len(run)
-        known = any(s < end and start < e for _, s, e in base)
-        if known or len(run) < 4 or len(_DIGIT.findall(run)) < 2:
-            out.append((pattern, None, 0, 0, False))
-        else:
-            out.append((pattern, run, start, end, False))
+    if len(left) >= 2:
+        out.append(f"{left[-2]} {left[-1]} _")
+    if len(left) == 3:
+        out.append(f"{left[0]} {left[1]} {left[2]} _")
+    if left and after < len(starts):
+        out.append(f"{left[-1]} _ {token(after)}")
+    if len(left) == 1 and not left[0].isalnum() or not left:
+        out.append(f"^ {' '.join(left)} _")  # where the text begins
+    beginning = _BEGINNING.match(text, start, end)
+    if beginning and len(beginning[0]) >= 2:
+        out.append(f"_ {beginning[0].lower()}")
     return out
 
 
+def occurrences(text: str, base: Sequence[tuple[str, int, int]]) -> list[tuple[list[str], str, int, int, bool]]:
+    """(patterns, instance, start, end, seed) for each seed and candidate of the text, by start."""
+    places = sorted([(s, e, True) for _, s, e in base] + [(s, e, False) for s, e in candidates(text, base)])
+    if not places:
+        return []
+    starts = array("q", (m.start() for m in _TOKEN.finditer(text)))
+    return [(patterns(text, starts, s, e), text[s:e], s, e, seed) for s, e, seed in places]
+
+
+def hashed(value: str) -> int:
+    """The signed XXH64 value of a string."""
+    return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _joined(spans: Sequence[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_FOUND = "array<struct<p: string, i: string, s: int, e: int, seed: boolean>>"
+_FOUND = "array<struct<p: array<long>, i: long, s: int, e: int, seed: boolean>>"
 
 
 def _scanned(texts: list[str | None]) -> list[dict]:
@@ -121,26 +158,28 @@ def _scanned(texts: list[str | None]) -> list[dict]:
     for t in texts:
         base = base_spans(t or "")
         counts = {f"n_{name}": sum(k == name for k, _, _ in base) for name in KINDS}
-        found = [dict(zip(("p", "i", "s", "e", "seed"), x, strict=True)) for x in cues(t or "", base)]
+        found = [{"p": [hashed(p) for p in ps], "i": hashed(i), "s": s, "e": e, "seed": seed} for ps, i, s, e, seed in occurrences(t or "", base)]
         rows.append(counts | {"base": _joined(base), "found": found})
     return rows
 
 
-def confident_patterns(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """Patterns ``p`` worth trusting, from ``found(p, i, seed)`` with one row for each cue."""
-    places = cut(found.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("seed"), F.col("i"))).alias("seeds")).where(F.col("seeds") > 0), "places")
-    edges = found.where("i IS NOT NULL").groupBy("p", "i").agg(F.count(F.lit(1)).alias("hits"), F.bool_or("seed").alias("seed"))
-    edges = cut(edges, "edges")
+def trusted_patterns(hits: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(p, confidence) of the patterns that are trusted after some rounds; ``hits(p, i, seed)`` has a row for each pattern of each occurrence."""
+    edges = cut(hits.groupBy("p", "i").agg(F.count(F.lit(1)).alias("hits"), F.bool_or("seed").alias("seed")), "edges")
+    places = edges.groupBy("p").agg(F.sum("hits").alias("n"), F.count(F.lit(1)).alias("instances")).where(F.col("instances") >= min_support)  # others can never have the support
+    places = cut(places.select("p", "n"), "places")
+    edges = cut(edges.join(places, "p"), "edges")
     scores = cut(edges.groupBy("i").agg(F.bool_or("seed").cast("double").alias("score")), "scores")
-    confidence = None
+    trusted = None
     for k in range(rounds):
-        summed = edges.join(scores, "i").groupBy("p").agg(F.sum(F.col("score") * F.col("hits")).alias("good"))
-        confidence = cut(summed.join(places, "p").select("p", "seeds", (F.col("good") / (F.col("n") + SMOOTHING)).alias("confidence")), "confidence")
+        sums = edges.join(scores, "i").groupBy("p", "n").agg(F.sum(F.col("score") * F.col("hits")).alias("good"), F.count_if(F.col("score") >= min_confidence).alias("support"))
+        confidence = F.col("good") / (F.col("n") + SMOOTHING)
+        trusted = cut(sums.where((confidence >= min_confidence) & (F.col("support") >= min_support)).select("p", confidence.alias("confidence")), "trusted")
         if k + 1 < rounds:
-            credit = edges.join(confidence.select("p", "confidence"), "p", "left")
-            or_ = 1 - F.exp(F.sum(F.log(1 - F.coalesce("confidence", F.lit(0.0)))))
-            scores = cut(credit.groupBy("i").agg(F.when(F.bool_or("seed"), 1.0).otherwise(or_).alias("score")), "scores")
-    return confidence.where((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("p")
+            credit = edges.join(small(trusted, MAX_BROADCAST), "p", "left")
+            noisy_or = 1 - F.exp(F.sum(F.log(1 - F.coalesce("confidence", F.lit(0.0)))))
+            scores = cut(credit.groupBy("i").agg(F.when(F.bool_or("seed"), 1.0).otherwise(noisy_or).alias("score")), "scores")
+    return trusted
 
 
 def find_personal(docs: DataFrame, carry: Sequence[str] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,12 +193,16 @@ def find_personal(docs: DataFrame, carry: Sequence[str] = (), doc_id: str = "doc
     scanned = docs.select(F.col(doc_id).alias("doc_id"), *struct, arrow_function(_scanned, schema)(F.col(text)).alias("r"))
     kept = ["doc_id", *(["doc"] if carry else [])]
     rows = cut(scanned.select(F.monotonically_increasing_id().alias("_row"), *kept, "r.*"), "personal")
-    found = rows.where(F.size("found") > 0).select("_row", F.inline("found"))
-    trusted = cut(confident_patterns(found), "trusted")
-    new = found.where("i IS NOT NULL AND NOT seed").join(trusted, "p").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("new"))
-    label = lambda x: F.concat(F.lit(f"{CONTEXT}:"), x.s.cast("string"), F.lit(":"), x.e.cast("string"))
-    added = new.select("_row", F.array_join(F.transform("new", label), ",").alias("_added"), F.size("new").cast("long").alias("_n"))
-    out = rows.drop("found").join(small(cut(added, "added"), MAX_BROADCAST), "_row", "left")
+    with recorded() as passing:
+        found = rows.where(F.size("found") > 0).select("_row", F.inline("found"))
+        trusted = trusted_patterns(found.select(F.explode("p").alias("p"), "i", "seed"))
+        open_ = found.where("NOT seed").select("_row", "s", "e", F.explode("p").alias("p"))
+        new = open_.join(small(trusted, MAX_BROADCAST), "p").groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("new"))
+        label = lambda x: F.concat(F.lit(f"{CONTEXT}:"), x.s.cast("string"), F.lit(":"), x.e.cast("string"))
+        written = new.select("_row", F.array_join(F.transform("new", label), ",").alias("_added"), F.size("new").cast("long").alias("_n"))
+    added = cut(written, "added")
+    drop(docs.sparkSession, passing)
+    out = rows.drop("found").join(small(added, MAX_BROADCAST), "_row", "left")
     spans = F.array_join(F.filter(F.array(F.col("base"), F.coalesce("_added", F.lit(""))), lambda x: x != ""), ",")
     return out.select(*kept, "n_email", "n_ip", "n_card", "n_phone", "base", spans.alias("spans"), F.coalesce("_n", F.lit(0)).alias("n_context"))
 
