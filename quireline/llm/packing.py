@@ -6,9 +6,11 @@ partitions' totals give every document its global offset; the second pass cuts d
 windows end. A document that runs over a window's end, or a window over a partition's, leaves one
 piece record on either side. Only the very last window has padding.
 
-Defined results: a null or empty text is its end id alone; a null doc_id is kept; repeated rows are
-packed once each; other columns are dropped first, so their names clash with nothing; an empty table
-gives an empty result.
+Defined results: a null or empty text is its end id alone; the string of a special token in a text is
+that token's id, as ``tokenizers`` has it (``add_special_tokens=False`` only adds none); a text of any
+length is cut into as many pieces as it needs; a null doc_id is kept; repeated rows are packed once
+each; other columns are dropped first, so their names clash with nothing; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -46,7 +48,8 @@ class VocabularyTokenizer:
     that), merging by listed pairs and merging by ranks are the same: two adjacent tokens whose bytes
     make a token are then always its listed pair, or merging that token's own bytes would have
     stopped at them. So texts go through the faster rank merger, under the file's own ids; only texts
-    with rare characters, where Unicode versions may split differently, go through ``tokenizers``.
+    with rare characters, where Unicode versions may split differently, and texts that hold the string
+    of an added token, which ``tokenizers`` gives that token's id, go through ``tokenizers`` itself.
     """
 
     def __init__(self, vocabulary: str, pattern: str):
@@ -58,6 +61,7 @@ class VocabularyTokenizer:
         with open(vocabulary, encoding="utf-8") as file:
             described = json.load(file)
         special = {t["content"] for t in described["added_tokens"]}
+        self.added = sorted(special)
         letters = byte_of_letter()
         ranks = {bytes(letters[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in special}
         self.merger = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -72,13 +76,11 @@ class VocabularyTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        read = Tokenizer.from_file(self.vocabulary)
-        read.encode_special_tokens = True  # their strings in a text are ordinary text
-        return read
+        return Tokenizer.from_file(self.vocabulary)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, little-endian, in ``dtype``."""
-        if not text.isascii() and self.rare(text):
+        if (not text.isascii() and self.rare(text)) or any(a in text for a in self.added):
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         else:
             ids = self.merger.encode_to_numpy(text, disallowed_special=())
