@@ -1,15 +1,22 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads UTF-8 bytes in windows of ``WINDOW`` positions, forwards and backwards, and gives
-language probabilities at every position of the whole text; a document's probabilities are the mean
-over its positions. It is trained here, in numpy, by backpropagation through time, on a bounded
-sample: of the labelled rows that are not held out, about ``QUOTA`` windows a language, from documents
-drawn by a hash of the id, at places drawn by another (several of a document only where there are few).
+The network reads UTF-8 bytes, forwards and backwards, and gives language probabilities at every
+position of the whole text; a document's probabilities are the mean over its positions. Long texts go
+through in windows of ``CORE`` positions that overlap by ``MARGIN`` on either side: there the states
+take up what is before and after, and no label is read, so each position is labelled once and sees
+``MARGIN`` bytes or more in both directions, or the text's end.
+
+The network is trained here, in numpy, by backpropagation through time, on a bounded sample: of the
+labelled rows that are not held out, about ``QUOTA`` windows of ``WINDOW`` bytes a language (fewer, but
+one at least, where ``SAMPLE`` is shared by very many), from documents drawn by a hash of the id, at
+places drawn by another (several of a document only where there are few). Training goes over the sample
+once at least. The sample and the network grow with the number of languages, not with the rows.
 
 Rows whose ``crc32(doc_id as text) mod 4`` is 2 are held out from training. Only a row's text takes
 part in its prediction.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; a null id is not held
+Defined results: a null text or one without a letter is ``und`` with score 0; a text of any length is
+labelled whole; languages of equal probability go by name, the first one wins; a null id is not held
 out; without any labelled row all texts are ``und``; rows come back once each, repeated or not; other
 columns are dropped first or come back inside one struct, so their names clash with nothing; an empty
 table gives an empty result.
@@ -26,12 +33,14 @@ from pyspark.sql import functions as F
 from quireline.llm.scratch import arrow_function
 
 WINDOW, HIDDEN = 96, 8
-#: Training windows for each language, about, languages at most (the most frequent) and windows of one document at most.
-QUOTA, MAX_LANGUAGES, PLACES = 1_200, 256, 8
+#: Positions that a window of a text labels, and those it reads besides on either side.
+CORE, MARGIN = 256, 32
+#: Training windows for each language, about, for all together and of one document at most.
+QUOTA, SAMPLE, PLACES = 1_200, 300_000, 8
 STEPS, BATCH, RATE, SEED = 350, 128, 0.02, 7
 UNKNOWN = "und"
 #: Windows that go through the network together.
-TOGETHER = 2_048
+TOGETHER = 768
 _PAD = 32
 
 
@@ -54,8 +63,11 @@ class ByteNetwork:
     def parameters(self) -> list[np.ndarray]:
         return [self.table, self.recur, self.out, self.bias]
 
-    def states(self, windows: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (W, 2, N, H) at each step of windows (N, W) of bytes, the backward ones in reading order; ``keep``: what training needs."""
+    def states(self, windows: np.ndarray, keep: bool = False, inside: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """States (W, 2, N, H) at each step of windows (N, W) of bytes, the backward ones in reading order.
+
+        ``keep``: what training needs; ``inside`` (N, W): which positions belong to the text, as states begin at its ends.
+        """
         n, w = windows.shape
         h2, h3 = 2 * self.hidden, 3 * self.hidden
         state = np.zeros((2, n, self.hidden), dtype=np.float32)
@@ -80,6 +92,9 @@ class ByteNetwork:
             state = before - candidate
             state *= z
             state += candidate
+            if inside is not None:
+                state[0] *= inside[:, t, None]
+                state[1] *= inside[:, w - 1 - t, None]
             states[t, 0] = state[0]
             states[w - 1 - t, 1] = state[1]
             if keep:
@@ -110,7 +125,8 @@ class ByteNetwork:
         d_out = np.stack([np.tensordot(states[:, k], p, axes=([0, 1], [0, 1])) for k in range(2)])
         d_bias = p.sum(axis=(0, 1))
         d_states = [p @ self.out[k].T for k in range(2)]
-        d_table, d_recur = np.zeros_like(self.table), np.zeros_like(self.recur)
+        d_recur = np.zeros_like(self.recur)
+        d_bytes = np.empty((2, w, n, 3 * hidden), dtype=d_states[0].dtype)
         d_state = np.zeros((2, n, hidden), dtype=np.float32)
         for t in range(w - 1, -1, -1):
             before, own, z, r, c = kept[t]
@@ -120,21 +136,22 @@ class ByteNetwork:
             d_own = np.concatenate([d_state * (before - c) * z * (1 - z), d_c * own * r * (1 - r), d_c * r], axis=2)
             d_given = np.concatenate([d_own[:, :, : 2 * hidden], d_c], axis=2)
             d_recur += np.matmul(before.transpose(0, 2, 1), d_own)
-            for k, at in enumerate((t, w - 1 - t)):
-                np.add.at(d_table[k], windows[:, at], d_given[k])
+            d_bytes[0, t], d_bytes[1, w - 1 - t] = d_given
             d_state = d_state * z + np.matmul(d_own, self.recur.transpose(0, 2, 1))
+        seen = windows.T.ravel()
+        d_table = np.stack([[np.bincount(seen, weights=column, minlength=256) for column in d.reshape(w * n, -1).T] for d in d_bytes]).transpose(0, 2, 1).astype(self.table.dtype)
         return loss, [d_table, d_recur, d_out.astype(np.float32), d_bias.astype(np.float32)]
 
 
-def cut_windows(raw: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The windows (n, window) of some bytes, the last one padded, and how many positions of each are real."""
-    n = -(-len(raw) // window)
-    flat = np.full(n * window, _PAD, dtype=np.uint8)
-    flat[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
-    sizes = np.full(n, window)
+def cut_windows(raw: bytes, core: int = WINDOW, margin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (n, margin + core + margin) of some bytes, padded outside them, and how many of each core's positions are real."""
+    n = -(-len(raw) // core)
+    flat = np.full(n * core + 2 * margin, _PAD, dtype=np.uint8)
+    flat[margin : margin + len(raw)] = np.frombuffer(raw, dtype=np.uint8)
+    sizes = np.full(n, core)
     if n:
-        sizes[-1] = len(raw) - (n - 1) * window
-    return flat.reshape(n, window), sizes
+        sizes[-1] = len(raw) - (n - 1) * core
+    return np.lib.stride_tricks.sliding_window_view(flat, core + 2 * margin)[::core] if n else np.zeros((0, core + 2 * margin), dtype=np.uint8), sizes
 
 
 class LanguageModel:
@@ -145,7 +162,7 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, samples: Iterable[tuple[str, str]], steps: int = STEPS) -> LanguageModel:
-        """Adam over (text, language) pairs; languages weigh the same however many texts they have."""
+        """Adam over (text, language) pairs, each used once at least; languages weigh the same however many texts they have."""
         samples = [(t.encode("utf-8", "surrogatepass")[:WINDOW], name) for t, name in samples]
         names = sorted({name for _, name in samples})
         network = ByteNetwork(len(names))
@@ -160,6 +177,7 @@ class LanguageModel:
         means = [np.zeros_like(p) for p in network.parameters()]
         squares = [np.zeros_like(p) for p in network.parameters()]
         order = np.zeros(0, dtype=np.int64)
+        steps = max(steps, -(-len(labels) // BATCH))
         for step in range(1, steps + 1):
             while len(order) < BATCH:
                 order = np.concatenate([order, draw.permutation(len(labels))])
@@ -178,18 +196,20 @@ class LanguageModel:
         """The best language and its pooled probability for each text; ``und`` and 0 for null and empty ones."""
         sums = np.zeros((len(texts), max(1, len(self.names))))
         counts = np.zeros(len(texts))
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def flush() -> None:
             nonlocal held
             if waiting:
-                windows, sizes, owners = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                windows, sizes, owners, before, after = (np.concatenate(x) for x in zip(*waiting, strict=True))
                 for at in range(0, len(windows), TOGETHER):
-                    states, _ = self.network.states(windows[at : at + TOGETHER])
-                    p = self.network.probabilities(states)
+                    spot = np.arange(windows.shape[1])[None, :]
+                    inside = (spot >= before[at : at + TOGETHER, None]) & (spot < after[at : at + TOGETHER, None])
+                    states, _ = self.network.states(windows[at : at + TOGETHER], inside=inside)
+                    p = self.network.probabilities(states[MARGIN : MARGIN + CORE])
                     some = sizes[at : at + TOGETHER]
-                    p *= (np.arange(WINDOW)[:, None] < some[None, :])[:, :, None]
+                    p *= (np.arange(CORE)[:, None] < some[None, :])[:, :, None]
                     np.add.at(sums, owners[at : at + TOGETHER], p.sum(axis=0))
                     np.add.at(counts, owners[at : at + TOGETHER], some)
             waiting.clear()
@@ -199,8 +219,9 @@ class LanguageModel:
             return [self.names[0] if t else UNKNOWN for t in texts], np.array([1.0 if t else 0.0 for t in texts])
         for k, t in enumerate(texts if self.names else []):
             if t:
-                windows, sizes = cut_windows(t.encode("utf-8", "surrogatepass"))
-                waiting.append((windows, sizes, np.full(len(sizes), k)))
+                windows, sizes = cut_windows(t.encode("utf-8", "surrogatepass"), CORE, MARGIN)
+                first = np.arange(len(sizes)) * CORE - MARGIN  # where in the text each window begins
+                waiting.append((windows, sizes, np.full(len(sizes), k), np.maximum(-first, 0), sizes.sum() - first))
                 held += len(sizes)
                 if held >= TOGETHER:
                     flush()
@@ -218,9 +239,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quota: int = QUOTA) -> LanguageModel:
     """A model of the labelled rows that are not held out, from at most about ``quota`` short passages a language."""
     seen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    counts = seen.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = seen.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()  # a row for each language
     if not counts:
         return LanguageModel.fit([])
+    quota = max(1, min(quota, SAMPLE // len(counts)))
     share = {r["lang"]: 1.5 * quota / r["n"] for r in counts}
     rates = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col(lang)]
     draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
@@ -228,7 +250,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     drawn = seen.where(draw < rates).select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(doc_id).cast("string").alias("key"), F.col(text).alias("text"), F.explode(places).alias("k"))
     place = F.pmod(F.xxhash64("key", "k"), F.greatest(F.length("text") - WINDOW, F.lit(1)).cast("long"))
     picked = drawn.select("lang", "draw", F.substring(F.col("text"), (place + 1).cast("int"), F.lit(WINDOW)).alias("passage"))
-    rows = sorted(picked.where(F.col("passage").rlike(r"\p{L}")).limit(3 * quota * len(counts)).collect(), key=lambda r: (r["draw"], r["passage"]))
+    fit = picked.where(F.col("passage").rlike(r"\p{L}")).orderBy("draw", "lang", "passage").limit(3 * quota * len(counts))  # in order, so the same rows each time
+    rows = sorted(fit.collect(), key=lambda r: (r["draw"], r["passage"]))
     taken: dict[str, list[tuple[str, str]]] = {}
     for r in rows:
         if len(own := taken.setdefault(r["lang"], [])) < quota:
