@@ -23,34 +23,21 @@ MIN_LANGUAGE_SCORE = 0.3
 ORACLE_SQL = None
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Tables that the stage before has cut for itself; its result has been written once the next stage begins.
-_BEFORE: list[str] = []
 
 
-def stage(function: Stage) -> Stage:
-    """A stage that first deletes what the one before it has cut, as ``docs`` no longer reads it."""
-
-    @functools.wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, _BEFORE)
-        _BEFORE.clear()
-        with recorded() as made:
-            out = function(spark, docs, sf_dir)
-        _BEFORE.extend(made)
-        return out
-
-    return run_stage
-
-
-@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass their own rules and those of their host."""
+    """Documents that pass their own rules and those of their host.
+
+    Null, empty and very short texts go; repeated rows stay or go together; an empty table stays one.
+    """
     return host_quality.host_quality(docs, docs.columns).where("kept").select("doc.*")
 
 
-@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network tells; without any labelled document nothing can be told and all stay."""
+    """Documents in a language that the network tells; without any labelled document nothing can be told and all stay.
+
+    Texts that are null or without a letter go; repeated rows stay or go together; an empty table stays one.
+    """
     model = language.train(docs)
     if not model.names:
         return docs
@@ -58,39 +45,66 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("doc.*")
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles and a similarity of 0.8 or more."""
+    """One document of each group of near copies, by five-word shingles and a similarity of 0.8 or more.
+
+    Null, empty and blank texts are copies of each other; of repeated rows one stays; null ids are the last to stay.
+    """
     return near_copies.near_copies_dedup(docs)
 
 
-@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; every row stays, null and empty texts as they are."""
     masked = pii.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
-@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of fixed windows of tokens."""
+    """Pieces of fixed windows of tokens; a null or empty text is its end id alone, an empty table has no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-STAGES = [
-    ("quality", quality),
-    ("language", known_language),
-    ("near_duplicates", near_duplicates),
-    ("personal_data", personal_data),
-    ("packing", packed),
-]
+class Pipeline:
+    """One run of the stages, which owns the tables that they cut for themselves.
+
+    A stage's tables are read until its result has been written, which it has once the next stage is called:
+    then they are deleted. What the last stage has cut stays until the driver ends, or ``close``.
+    """
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+
+    def staged(self, function: Stage) -> Stage:
+        """A stage that first deletes what the one before it has cut."""
+
+        @functools.wraps(function)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            self.close(spark)
+            with recorded() as made:
+                out = function(spark, docs, sf_dir)
+            self.made = made
+            return out
+
+        return run_stage
+
+    def close(self, spark: SparkSession) -> None:
+        """Delete the last stage's own tables; its result must have been written, or be wanted no more."""
+        drop(spark, self.made)
+        self.made = []
+
+    def stages(self) -> list[tuple[str, Stage]]:
+        functions = (("quality", quality), ("language", known_language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packed))
+        return [(name, self.staged(function)) for name, function in functions]
+
+
+#: The stages for a caller that runs them one after the other and writes each result; ``run`` has its own.
+STAGES = Pipeline().stages()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, apply in STAGES[:-1]:
+    stages = Pipeline().stages()
+    for name, apply in stages[:-1]:
         docs = cut(apply(spark, docs, sf_dir), name)
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    _BEFORE.clear()  # the result is not written here, so what it reads stays
-    return out
+    return stages[-1][1](spark, docs, sf_dir)
