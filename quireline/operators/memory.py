@@ -7,22 +7,29 @@ it is small and splits skewed keys where it is not.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireline.functions.text import key_tone
 from quireline.functions.values import SEGMENTATION_VERSION
 
+_APPEND = re.compile(r"(?:append|_claim)-(\d+)")
 KEY = ("hash", "context", "version", "variant", "tone")
 RECORD = "hash string, context string, segmentation_version int, variant string, tone string, source string, target string, slots array<string>"
 
 
 def read_memory(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON-lines log in the order they were appended (``seq``); lines that are none are skipped."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    parsed = lines.select(F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r"), "_file", "_at")
-    rows = parsed.where("r.hash IS NOT NULL AND r.target IS NOT NULL")
-    return rows.select("r.*", F.struct("_file", "_at").alias("seq"))
+    """Records of a JSON-lines log in the order they were appended (``seq``); lines that are none are skipped.
+
+    An appended record brings its number (``append``). Lines without one, in files from elsewhere, are the oldest and
+    come in the order of their files and lines.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    parsed = lines.select(F.from_json("value", f"{RECORD}, seq bigint, place bigint", {"mode": "PERMISSIVE"}).alias("r"), "_file", "_at")
+    rows = parsed.where("r.hash <> '' AND r.target <> ''")
+    return rows.select("r.*", "_file", "_at").withColumn("seq", F.struct(F.coalesce("seq", F.lit(0)).alias("commit"), F.coalesce("place", F.lit(0)).alias("place"), "_file", "_at")).drop("place", "_file", "_at")
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -71,7 +78,22 @@ def to_commit(segments: DataFrame, memory: DataFrame) -> DataFrame:
     return fresh.join(old, same, "left_anti")
 
 
-def append(records: DataFrame, path: str) -> None:
-    """Append records to a JSON-lines log, nulls left out."""
+def append(records: DataFrame, path: str) -> int:
+    """Append records to a JSON-lines log, nulls left out; the number of this append.
+
+    Each append is a folder of its own, named by its number, which is claimed by making the folder: of two
+    writers at a time one gets the next number. All its records carry the number and their place, so they
+    are read in order whatever their files are called.
+    """
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.mkdirs(folder)
+    taken = [int(m[1]) for s in system.listStatus(folder) if (m := _APPEND.fullmatch(s.getPath().getName()))]
+    number = max(taken, default=0) + 1
+    while not system.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(folder, f"_claim-{number:012d}")):
+        number += 1
     renamed = records.withColumnRenamed("version", "segmentation_version") if "version" in records.columns else records
-    renamed.write.mode("append").json(path)
+    numbered = renamed.withColumns({"seq": F.lit(number).cast("long"), "place": F.monotonically_increasing_id()})
+    numbered.write.json(f"{path}/append-{number:012d}")
+    return number
