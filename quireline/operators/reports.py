@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireline.functions.values import HELD
@@ -49,10 +51,10 @@ def with_reports(documents: DataFrame, reports: DataFrame, keys: Sequence[str] =
 def untracked(candidates: DataFrame, targets: DataFrame, tracked: DataFrame) -> DataFrame:
     """Pairs of a candidate (doc_id, label) and a target language (lang) that no tracked document has; ids are compared without case.
 
-    Target languages are a project's settings, few and known, so each candidate is given the array of them.
+    Target languages are a project's settings: as one array they are joined to each candidate, all of them.
     """
-    langs = [r["lang"] for r in targets.select("lang").distinct().orderBy("lang").limit(10_000).collect()]
-    every = candidates.withColumn("lang", F.explode(F.array(*map(F.lit, langs)))).withColumn("_fold", F.lower("doc_id"))
+    langs = targets.where("lang IS NOT NULL").agg(F.sort_array(F.collect_set("lang")).alias("_langs"))  # one row
+    every = candidates.join(F.broadcast(langs)).withColumn("lang", F.explode("_langs")).withColumn("_fold", F.lower("doc_id")).drop("_langs")
     known = tracked.select(F.lower("doc_id").alias("_fold"), "lang")
     return every.join(known, ["_fold", "lang"], "left_anti").drop("_fold")
 
@@ -66,3 +68,27 @@ def collisions(labels: DataFrame) -> DataFrame:
 def issues_by_segment(issues: DataFrame, keys: Sequence[str] = ("doc_id", "lang", "seg")) -> DataFrame:
     """All issues of each segment as one ordered array."""
     return issues.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rule", "severity", "message"))).alias("issues"))
+
+
+def shown(issues: DataFrame, most: int = 25, keys: Sequence[str] = ("doc_id", "lang")) -> DataFrame:
+    """The first ``most`` issues of each document, by segment and then as found; ``more`` counts the rest of the document's."""
+    w = Window.partitionBy(*keys)
+    placed = issues.withColumns({"_n": F.row_number().over(w.orderBy("seg", "rule", "message")), "more": F.greatest(F.count(F.lit(1)).over(w) - most, F.lit(0))})
+    return placed.where(F.col("_n") <= most).orderBy(*keys, "_n").drop("_n")
+
+
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored check reports (``write_report``): lang, doc_id and counts; files that are no report are left out."""
+    schema = "doc_id string, lang string, segments long, translated long, errors long, warnings long, by_rule map<string, long>"
+    files = spark.read.text(f"{folder}/*.json", wholetext=True)  # by name, as listing leaves out what lies below a folder with a dot
+    return files.select(F.from_json("value", schema).alias("r")).where("r.doc_id IS NOT NULL").select("r.*")
+
+
+def write_report(report: dict, folder: str) -> str:
+    """One document's report as a JSON file that appears at once; its path."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{report['doc_id']}.{report['lang']}.json")
+    with open(f"{path}.tmp", "w", encoding="utf-8", newline="\n") as file:
+        json.dump(report, file, ensure_ascii=False, indent=1, sort_keys=True)
+    os.replace(f"{path}.tmp", path)
+    return path

@@ -24,14 +24,14 @@ def translated(target: Column) -> Column:
     return ~is_blank(F.coalesce(target, F.lit("")))
 
 
-def select(segments: DataFrame, mode: str = "draft", ids: Sequence[str] | None = None, include_all: bool = False, limit: int = 0, over_human: bool = False, document: Sequence[str] = ("doc_id",)) -> DataFrame:
+def select(segments: DataFrame, mode: str = "draft", ids: DataFrame | None = None, include_all: bool = False, limit: int = 0, over_human: bool = False, document: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The segments of a stage: ``draft``, ``polish`` or ``repair`` (with an ``issues`` column), or just the given ids.
 
-    Ids are taken as they are. All other ways leave held segments out, and those that a person wrote
+    ``ids`` is a table of the document's keys and id; what it names is taken as it is. All other ways leave held segments out, and those that a person wrote
     unless ``over_human``. ``limit`` is for drafts: so many pending segments of each document, 0 for all.
     """
     if ids is not None:
-        return segments.where(F.col("id").isin(*ids))
+        return segments.join(ids.select(*document, "id").distinct(), [*document, "id"], "left_semi")
     out = segments.where(workable(F.col("review")))
     if mode == "polish":
         out = out.where((F.coalesce("target", F.lit("")) != "") & F.col("kind").isin(*POLISHED_KINDS))
@@ -98,3 +98,8 @@ def hold(segments: DataFrame, ids: DataFrame, held: bool = True, keys: Sequence[
     blank = F.lit(held) & ~translated(s["target"])
     outcome = F.when(s.isNull(), "unknown").when(blank, "blank").when(s["review"].eqNullSafe(wanted), "unchanged").otherwise("applied")
     return df.withColumn("outcome", outcome).drop("_s")
+
+
+def size_of(chosen: DataFrame) -> DataFrame:
+    """What a stage would send: segments, and characters of their masked text."""
+    return chosen.agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum(F.length("masked")), F.lit(0)).alias("characters"))

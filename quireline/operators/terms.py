@@ -88,3 +88,8 @@ def unknown_terms(terms: DataFrame, glossary: DataFrame) -> DataFrame:
     """Terms that no glossary row has, compared in lower case."""
     held = glossary.select(F.lower("source").alias("_low")).distinct()
     return terms.withColumn("_low", F.lower("source")).join(held, "_low", "left_anti").drop("_low")
+
+
+def ranked(terms: DataFrame) -> DataFrame:
+    """Terms by count, the most frequent first, then by their text."""
+    return terms.orderBy(F.desc("count"), "source")
