@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -24,10 +24,10 @@ from quireline.operators.segment_text import segment_text
 FORMATS: dict[str, Callable[[DataFrame, str, Sequence[str]], DataFrame]] = {"markdown": segment_markdown, "text": segment_text}
 
 
-def segmented(docs: DataFrame, dnt: Sequence[str] = (), text: str = "text") -> tuple[DataFrame, DataFrame]:
+def segmented(docs: DataFrame, dnt: Sequence[str] = (), text: str = "text", formats: Mapping[str, Callable[[DataFrame, str, Sequence[str]], DataFrame]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, nodes) of documents with doc_id, lang, tone, format and text."""
     keys = ("doc_id", "lang", "tone")
-    parts = [segment(docs.where(F.col("format") == name), text, dnt).select(*keys, "host", "segments", "nodes") for name, segment in FORMATS.items()]
+    parts = [segment(docs.where(F.col("format") == name), text, dnt).select(*keys, "host", "segments", "nodes") for name, segment in (formats or FORMATS).items()]
     every = reduce(DataFrame.unionByName, parts)
     segments = segments_of(every, *keys, "host").withColumns({"context": F.col("kind"), "variant": F.lit(None).cast("string"), "slots": masking.tag_slots(F.col("originals"))})
     return segments, nodes_of(every, "doc_id", "lang")
@@ -38,8 +38,8 @@ def segment_key(tone: str = "tone"):
     return F.to_json(F.struct("hash", "context", F.lit(SEGMENTATION_VERSION).alias("version"), "variant", key_tone(F.col(tone)).alias("tone")))
 
 
-def reused(segments: DataFrame, lang: str, prior: DataFrame | None = None, memory: DataFrame | None = None, operations: Sequence[str] = (), dnt: Sequence[str] = ()) -> DataFrame:
-    """Segments with target, origin, review and ``outcome``.
+def reused(segments: DataFrame, lang: str, prior: DataFrame | None = None, memory: DataFrame | None = None, operations: Sequence[str] = (), dnt: Sequence[str] = (), keep_key: bool = False) -> DataFrame:
+    """Segments with target, origin, review and ``outcome``, and with ``keep_key`` the key that a later state is aligned by.
 
     Wording carried over from ``prior`` comes first, then the memory's. What the acceptance gate lets
     through first is taken (``carried`` or ``memory``); if nothing is, carried wording is ``kept``
@@ -74,4 +74,4 @@ def reused(segments: DataFrame, lang: str, prior: DataFrame | None = None, memor
             "target_slots": F.when((outcome == "kept") & (F.to_json("_was.slots") != F.to_json("slots")), F.col("_was.slots")),
             "outcome": outcome,
         }
-    ).drop("_a", "_b", "_was", "from_pos", "key", "hit", "hit_slots", "hit_origin")
+    ).drop("_a", "_b", "_was", "from_pos", "hit", "hit_slots", "hit_origin", *(() if keep_key else ("key",)))

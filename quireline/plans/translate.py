@@ -8,6 +8,7 @@ more, segment by segment; repair rounds end early when nothing changes any more.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -19,6 +20,8 @@ from quireline.functions.values import BATCH_SIZE, REPAIR_ROUNDS
 from quireline.operators.checks import Rules, check_segments
 from quireline.operators.context import batches, neighbours, referenced, requests
 from quireline.operators.selection import parse_reply, select
+from quireline.sources.projects import backoff
+from quireline.sources.state import written
 
 Provider = Callable[[str, str], str]
 
@@ -28,8 +31,20 @@ def stub_provider(system: str, request: str) -> str:
     return json.dumps({x["id"]: f"[{x['text'].strip()}]" for x in json.loads(request)}, ensure_ascii=False)
 
 
-def asked(batched: DataFrame, provider: Provider, system: str, retries: int = 2) -> DataFrame:
-    """``batched`` (with ``payload``) with each batch's ``reply``, or its ``failure`` after some tries."""
+class Unavailable(Exception):
+    """A provider's answer that is worth another try later; ``retry_after``: what the server says about when."""
+
+    def __init__(self, message: str, retry_after: str | None = None):
+        super().__init__(message)
+        self.retry_after = retry_after
+
+
+def asked(batched: DataFrame, provider: Provider, system: str, retries: int = 2, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``batched`` (with ``payload``) with each batch's ``reply``, or its ``failure`` after some tries.
+
+    Between tries of an ``Unavailable`` provider there is a pause (``backoff``); other failures are asked again at once.
+    The answers are written before they are used: a provider is not asked, nor paid, again for a plan that reads them twice.
+    """
     names = [c for c in batched.columns if c != "payload"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batched.schema.fields if f.name in names)
 
@@ -38,17 +53,21 @@ def asked(batched: DataFrame, provider: Provider, system: str, retries: int = 2)
             replies, failures = [], []
             for payload in pdf["payload"]:
                 reply, failure = None, None
-                for _ in range(retries):
+                for attempt in range(retries):
                     try:
                         reply, failure = provider(system, payload), None
                         break
+                    except Unavailable as error:
+                        failure = str(error)
+                        if attempt + 1 < retries:
+                            wait(backoff(attempt, error.retry_after))
                     except Exception as error:  # a provider may fail in any way; the batch is then asked piece by piece
                         failure = str(error)
                 replies.append(reply)
                 failures.append(failure)
             yield pdf[names].assign(reply=pd.Series(replies, dtype=object, index=pdf.index), failure=pd.Series(failures, dtype=object, index=pdf.index))
 
-    return batched.mapInPandas(calls, f"{schema}, reply string, failure string")
+    return written(batched.mapInPandas(calls, f"{schema}, reply string, failure string"), "answers")
 
 
 def answers(batched: DataFrame, provider: Provider, system: str, keys: Sequence[str]) -> DataFrame:

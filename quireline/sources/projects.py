@@ -109,3 +109,9 @@ def write_document(path: str, text: str) -> None:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "wb") as file:
         file.write(text.encode("utf-8"))
+
+
+def model_listing(rows: Sequence[dict], longest: int = 200) -> list[dict]:
+    """id and status of a provider's models, by id; ids that are no text, too long or hold control characters are left out."""
+    fit = [r for r in rows if isinstance(r, dict) and isinstance(r.get("id"), str) and 0 < len(r["id"]) <= longest and r["id"].isprintable()]
+    return [{"id": r["id"], "status": r.get("status") if isinstance(r.get("status"), str) else None} for r in sorted(fit, key=lambda r: r["id"])]
