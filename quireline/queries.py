@@ -20,7 +20,7 @@ from quireline.operators.segment_text import is_chapter, paragraph_mode, segment
 from quireline.plans.extract import reused, segmented
 from quireline.plans.translate import stub_provider, translate
 from quireline.sources.documents import decoded
-from quireline.sources.state import scratch_folder
+from quireline.sources.state import scratch_folder, written
 from quireline.streaming.ingest import read_stream, stream_reuse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,8 +310,9 @@ def q13(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, 'untranslated' AS rule, 'warn' AS severity, 1::BIGINT AS n FROM shown WHERE n > 1 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 3""",
 )
 def q14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    df = texts.where("copies > 1").select("id", F.col("text").alias("source"), F.col("text").alias("target"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    copies = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")  # digests are shuffled, not texts
+    df = docs.join(copies, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.col("text").alias("target"))
     return counted(df, checks.untranslated(F.col("source"), F.col("target")))
 
 
@@ -344,16 +345,22 @@ def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(document_pairs(spark, sf_dir), checks.lost_terms(F.col("source"), F.col("target"), DNT))
 
 
+def masked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, source): each page's text, masked."""
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), masking.masked(F.col("html")).text.alias("source"))
+
+
 @query(
     "q17_check_placeholders",
-    """WITH m AS (SELECT p_partkey AS id, p_partkey % 3 AS k FROM part)
-SELECT id, 'placeholders differ: lost [' || CASE k WHEN 1 THEN '2' WHEN 2 THEN '1, 10' ELSE '' END || '], extra [' || CASE k WHEN 2 THEN '2' ELSE '' END || ']' AS message FROM m WHERE k > 0""",
+    f"""WITH {mask_sql('SELECT page_id AS id, html AS s FROM pages')},
+told AS (SELECT id, CASE WHEN n > 0 AND id % 3 = 1 THEN '1' ELSE '' END AS lost, CASE WHEN id % 3 = 2 THEN '1, 99999' ELSE '' END AS extra FROM masked)
+SELECT id, 'placeholders differ: lost [' || lost || '], extra [' || extra || ']' AS message FROM told WHERE lost <> '' OR extra <> ''""",
 )
 def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 3
-    target = F.when(k == 0, "⟦2⟧ b ⟦10⟧ a ⟦1⟧").when(k == 1, "⟦1⟧ a ⟦10⟧").otherwise("⟦2⟧ ⟦2⟧")
-    found = checks.placeholder_sets(F.lit("a ⟦1⟧ b ⟦2⟧ c ⟦10⟧"), target)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(found).alias("x")).select("id", "x.message")
+    """Pages whose first placeholder is lost, or that gain two, beside pages whose wording is as masked."""
+    k, s = F.col("id") % 3, F.col("source")
+    target = F.when(k == 1, F.replace(s, F.lit("⟦1⟧"), F.lit(""))).when(k == 2, F.concat(s, F.lit("⟦1⟧ ⟦99999⟧"))).otherwise(s)
+    return masked_pages(spark, sf_dir).select("id", F.explode(checks.placeholder_sets(s, target)).alias("x")).select("id", "x.message")
 
 
 @query(
@@ -368,42 +375,70 @@ def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("slots", slots).select("id", F.explode(checks.tag_pairs(F.col("target"), F.col("slots"))).alias("x")).select("id", "x.message")
 
 
+#: Document lines that begin with a letter, so that none opens a block by itself.
+PLAIN_LINES = LINES + r""", plain AS (SELECT doc_id, pos, line FROM lines WHERE regexp_matches(line, '^[A-Za-zÀ-ɏ]') AND NOT contains(line, '|'))"""
+
+
+def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_lines(spark, sf_dir).where(F.col("line").rlike("^[A-Za-zÀ-ɏ]") & ~F.col("line").contains("|"))
+
+
 @query(
     "q19_check_containment",
-    """WITH m AS (SELECT p_partkey AS id, p_partkey % 6 AS k FROM part)
-SELECT id, 'containment' AS rule, 'error' AS severity, 1::BIGINT AS n FROM m WHERE k > 0""",
+    f"""WITH {PLAIN_LINES}
+SELECT doc_id, pos, 'containment' AS rule, 'error' AS severity, CASE pos % 8 WHEN 1 THEN 'the target has more lines than a heading may have' WHEN 2 THEN 'the target contains a blank line, which ends the block it sits in'
+  WHEN 3 THEN 'the target opens a list; the source does not' WHEN 4 THEN 'line 2 of the target opens a blockquote; a translation may not add a block' WHEN 5 THEN 'the target adds a ''|'', which starts a new table column'
+  WHEN 6 THEN 'the target opens a heading; the source does not' ELSE 'line 2 of the target opens a setext heading; a translation may not add a block' END AS message FROM plain WHERE pos % 8 > 0""",
 )
 def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 6
+    """Every plain line of the documents, its wording leaving its block in one of seven ways or not at all."""
+    k, line = F.col("pos") % 8, F.col("line")
     kind = F.when(k == 1, "heading").when(k == 5, "cell").otherwise("para")
-    target = F.when(k == 0, "ein Satz").when(k == 1, "zwei\nZeilen").when(k == 2, "ein\n\nSatz").when(k == 3, "- Punkt").when(k == 4, "ein Satz\n> Zitat").otherwise("a | b")
-    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), kind.alias("kind"), target.alias("target"))
-    return counted(df, checks.containment(F.col("kind"), F.lit("markdown"), F.lit("a sentence"), F.col("target")))
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    target = F.when(k == 0, line).when(k == 1, put(line, "\nmore")).when(k == 2, put(line, "\n\n", line)).when(k == 3, put("- ", line)).when(k == 4, put(line, "\n> ", line)).when(k == 5, put(line, " | ")).when(k == 6, put("## ", line)).otherwise(put(line, "\n==="))
+    found = checks.containment(kind, F.lit("markdown"), line, target)
+    return plain_lines(spark, sf_dir).select("doc_id", "pos", F.explode(found).alias("x")).select("doc_id", "pos", "x.*")
 
 
-@query("q20_check_eol", "SELECT n_nationkey::INTEGER AS id, 'eol' AS rule, 'error' AS severity, 1::BIGINT AS n FROM nation WHERE n_nationkey % 2 = 0")
+@query("q20_check_eol", f"WITH {LINES} SELECT doc_id, pos, 'eol' AS rule FROM lines WHERE pos % 2 = 0 AND NOT contains(line, chr(13))")
 def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit("\r"))).otherwise(F.col("n_name")).alias("target"))
-    return counted(df, checks.added_cr(F.lit("a"), F.col("target")))
+    target = F.when(F.col("pos") % 2 == 0, F.concat("line", F.lit("\r"))).otherwise(F.col("line"))
+    return doc_lines(spark, sf_dir).select("doc_id", "pos", F.explode(checks.added_cr(F.col("line"), target)).alias("x")).select("doc_id", "pos", "x.rule")
 
 
-@query("q20b_check_escaping", "SELECT n_nationkey::INTEGER AS id, 'escaping' AS rule, 'error' AS severity, CASE WHEN n_nationkey % 3 = 0 THEN 3 ELSE 1 END::BIGINT AS n FROM nation WHERE n_nationkey % 3 < 2")
+@query(
+    "q20b_check_escaping",
+    r"""WITH t AS (SELECT page_id, contains(html, '<') AS lt, contains(regexp_replace(html, '&(?:[A-Za-z][A-Za-z0-9]*|#\d+|#[xX][0-9A-Fa-f]+);', '', 'g'), '&') AS amp, contains(html, ']]>') AS cdata FROM pages)
+SELECT page_id::VARCHAR AS id, 'escaping' AS rule, 'error' AS severity, (lt::INT + amp::INT + cdata::INT)::BIGINT AS n FROM t WHERE lt OR amp OR cdata""",
+)
 def q20b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey") % 3
-    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.when(k == 0, "a<b & c]]>").when(k == 1, "a &amp; b & c").otherwise("a &lt; &#60; &#x3C;").alias("target"))
-    return counted(df, checks.escaping(F.col("target"), F.lit("xml")))
+    """Pages as targets of an XML host: raw signs and character references as they stand in them."""
+    df = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "html")
+    return counted(df, checks.escaping(F.col("html"), F.lit("xml")))
+
+
+#: Document texts with Chinese between their words: what the checks of Chinese wording look at.
+CHINESE = r"""
+zh AS (SELECT doc_id, replace(replace(replace(replace(text, ' the ', '中文'), ' and ', '中,文'), ' of ', '的 "文" '), ' in ', '軟件視頻 ') AS t FROM documents)"""
+
+
+def chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    for word, put in ((" the ", "中文"), (" and ", "中,文"), (" of ", '的 "文" '), (" in ", "軟件視頻 ")):
+        t = F.replace(t, F.lit(word), F.lit(put))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), t.alias("target"))
 
 
 @query(
     "q21_check_punctuation",
-    """WITH m AS (SELECT n_nationkey::INTEGER AS id, n_nationkey % 4 AS k FROM nation)
-SELECT id, CASE WHEN k = 3 THEN 'spacing' ELSE 'punct' END AS rule, 'warn' AS severity, CASE WHEN k = 2 THEN 2 ELSE 1 END::BIGINT AS n FROM m WHERE k > 0""",
+    rf"""WITH {CHINESE},
+found AS (SELECT doc_id, 'half-width ' || chr(39) || regexp_extract(t, '[一-鿿][ \t-\r]*([,;:!?])', 1) || chr(39) || ' after CJK' AS message FROM zh WHERE regexp_matches(t, '[一-鿿][ \t-\r]*[,;:!?]')
+  UNION ALL SELECT doc_id, 'straight quotes around CJK' FROM zh WHERE regexp_matches(t, '"[^"]*[一-鿿][^"]*"')
+  UNION ALL SELECT doc_id, 'no space between CJK and Latin' FROM zh WHERE regexp_matches(t, '[一-鿿][A-Za-z0-9]|[A-Za-z0-9][一-鿿]'))
+SELECT doc_id AS id, message FROM found""",
 )
 def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey") % 4
-    target = F.when(k == 0, F.concat(F.lit("中文 "), "n_name", F.lit(" 文字。"))).when(k == 1, "中文, 文字").when(k == 2, '"中文" 文字 ; 好').otherwise(F.concat(F.lit("中文"), "n_name"))
-    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), target.alias("target"))
-    return counted(df, checks.punctuation(F.col("target")))
+    return chinese(spark, sf_dir).select("id", F.explode(checks.punctuation(F.col("target"))).alias("x")).select("id", "x.message")
 
 
 _FORMS = ", ".join(f"('{bad}', '{severity}')" for bad, _, severity in LEXICON)
@@ -411,14 +446,11 @@ _FORMS = ", ".join(f"('{bad}', '{severity}')" for bad, _, severity in LEXICON)
 
 @query(
     "q22_check_lexicon",
-    f"""WITH lex(bad, severity) AS (VALUES {_FORMS})
-SELECT n_nationkey::INTEGER AS id, 'lexicon' AS rule, severity, count(*) AS n
-FROM nation JOIN lex ON contains('這個視頻率、視頻、鼠標本' || CASE WHEN n_nationkey % 2 = 0 THEN '軟件內存' ELSE '軟體' END, bad) AND bad <> '鼠標' GROUP BY 1, 2, 3""",
+    f"""WITH {CHINESE}, lex(bad, severity) AS (VALUES {_FORMS})
+SELECT doc_id AS id, 'lexicon' AS rule, severity, count(*) AS n FROM zh JOIN lex ON contains(t, bad) GROUP BY doc_id, severity""",
 )
 def q22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = F.concat(F.lit("這個視頻率、視頻、鼠標本"), F.when(F.col("n_nationkey") % 2 == 0, "軟件內存").otherwise("軟體"))
-    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), target.alias("target"))
-    return counted(df, checks.lexicon(F.col("target"), "zh-TW"))
+    return counted(chinese(spark, sf_dir), checks.lexicon(F.col("target"), "zh-TW"))
 
 
 # ---- translation memory -----------------------------------------------------------------------------
@@ -430,9 +462,14 @@ def q23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.latest(events.withColumn("seq", F.col("event_id")), ("user_id", "event_type"), "seq").select("user_id", "event_type", "value", "event_id")
 
 
-def document_memory(spark: SparkSession, sf_dir: str, legacy: bool = False) -> DataFrame:
+def cut_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_segments``, cut once and written, for queries that read them twice: each reader then reads its own columns."""
+    return written(document_segments(spark, sf_dir), "segments")
+
+
+def document_memory(segments: DataFrame, legacy: bool = False) -> DataFrame:
     """The memory of the wording (upper case) of every document whose id is even."""
-    s = document_segments(spark, sf_dir).where("doc_id % 2 = 0")
+    s = segments.where("doc_id % 2 = 0")
     none = F.lit(None).cast("string")
     records = s.select(
         "hash", (none if legacy else F.col("context")).alias("context"), F.lit(0 if legacy else 1).alias("segmentation_version"), "variant", "tone", "source",
@@ -447,7 +484,8 @@ def document_memory(spark: SparkSession, sf_dir: str, legacy: bool = False) -> D
 SELECT doc_id, pos::INTEGER AS pos, CASE WHEN k.source IS NOT NULL THEN 'tm' END AS origin FROM segs LEFT JOIN known k USING (source)""",
 )
 def q24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.lookup(document_segments(spark, sf_dir), document_memory(spark, sf_dir)).select("doc_id", "pos", F.col("hit_origin").alias("origin"))
+    segments = cut_segments(spark, sf_dir)
+    return memory.lookup(segments, document_memory(segments)).select("doc_id", "pos", F.col("hit_origin").alias("origin"))
 
 
 @query(
@@ -456,7 +494,8 @@ def q24(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, pos::INTEGER AS pos, CASE WHEN k.source IS NOT NULL THEN 'tm:legacy' END AS origin FROM segs LEFT JOIN known k USING (source)""",
 )
 def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.lookup(document_segments(spark, sf_dir), document_memory(spark, sf_dir, legacy=True)).select("doc_id", "pos", F.col("hit_origin").alias("origin"))
+    segments = cut_segments(spark, sf_dir)
+    return memory.lookup(segments, document_memory(segments, legacy=True)).select("doc_id", "pos", F.col("hit_origin").alias("origin"))
 
 
 @query(
@@ -465,13 +504,32 @@ def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT substr(sha1(source), 1, 12) AS hash FROM segs WHERE source NOT IN (SELECT source FROM known)""",
 )
 def q26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = document_segments(spark, sf_dir).withColumn("target", F.upper("masked")).drop("slots").withColumnRenamed("originals", "slots")
-    return memory.to_commit(done, document_memory(spark, sf_dir)).select("hash").distinct()
+    segments = cut_segments(spark, sf_dir)
+    done = segments.withColumn("target", F.upper("masked")).drop("slots").withColumnRenamed("originals", "slots")
+    return memory.to_commit(done, document_memory(segments)).select("hash").distinct()
+
+
+@query(
+    "q23b_memory_log",
+    """SELECT l_partkey::VARCHAR AS hash, arg_max('wording ' || l_orderkey || '/' || l_linenumber, l_orderkey % 3 * 1000000000000 + l_orderkey * 10 + l_linenumber) AS target, count(*) AS n FROM lineitem GROUP BY l_partkey""",
+)
+def q23b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A memory log of three appends, read back: the last wording of each key is that of the last append."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("hash"), F.concat(F.lit("wording "), "l_orderkey", F.lit("/"), "l_linenumber").alias("target"), (F.col("l_orderkey") % 3).alias("turn"), "l_orderkey", "l_linenumber"
+    )
+    log = scratch_folder(spark, "memory")
+    for turn in range(3):
+        own = lines.where(F.col("turn") == turn).orderBy("l_orderkey", "l_linenumber")
+        memory.append(own.select("hash", "target"), log)
+    rows = memory.read_memory(spark, log)
+    last = memory.latest(rows.select("hash", "target", "seq"), ("hash",))
+    return last.join(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash").select("hash", "target", "n")
 
 
 def reuse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: segments, distinct keys, segments that the memory of lower ids answers, and those pending."""
-    s = document_segments(spark, sf_dir).select("doc_id", "hash", "context")
+    s = written(document_segments(spark, sf_dir).select("doc_id", "hash", "context"), "keys")
     first = s.groupBy("hash", "context").agg(F.min("doc_id").alias("first"))
     known = s.join(first, ["hash", "context"]).withColumn("reused", F.col("first") < F.col("doc_id"))
     out = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segments"), F.count_distinct("hash", "context").alias("keys"), F.count_if("reused").alias("reused"))
@@ -502,13 +560,14 @@ def q28(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents as segments of their source, checked."""
-    df = document_pairs(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("host_name"), "lang"), "id")
-    masked = F.col("source")
+    """Pairs of a document and the next one's text as segments of their source, checked by all rules."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host_name"), "lang"))
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("target"))
+    df = docs.withColumnRenamed("text", "source").join(other, "doc_id")
     slots = masking.plain_slots(F.array().cast("array<string>"))
-    rules = checks.Rules(lang="de", glossary=GLOSSARY, dnt=DNT, disabled=frozenset({"containment", "untranslated", "tags"}))
-    found = checks.issues(rules, masked, F.col("target"), slots, F.lit("para"), F.lit("text"), F.lit(None).cast("string"))
-    return df.select(F.col("host_name").alias("doc_id"), "lang", "id", "target", found.alias("issues"))
+    rules = checks.Rules(lang="de", glossary=GLOSSARY, dnt=DNT)
+    found = checks.issues(rules, F.col("source"), F.col("target"), slots, F.lit("para"), F.lit("text"), F.lit(None).cast("string"))
+    return df.select(F.col("host_name").alias("doc_id"), "lang", F.col("doc_id").alias("id"), "target", found.alias("issues"))
 
 
 @query(
@@ -523,12 +582,19 @@ found AS (
   UNION ALL SELECT DISTINCT id, 'numbers', 'error' FROM lost
   UNION ALL SELECT id, 'length', 'warn' FROM sized WHERE s >= 40 AND (t / s < 0.2 OR t / s > 2.5)
   UNION ALL SELECT id, 'dnt', 'warn' FROM pairs JOIN (SELECT unnest(['tion', 'the', 'and']) AS term) ON contains(source, term) AND NOT contains(target, term)
-), counts AS (SELECT id, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warn') AS w FROM found GROUP BY id)
-SELECT d.source AS doc_id, d.lang, count(*) AS segments, count(*) FILTER (WHERE target <> '') AS translated, coalesce(sum(e), 0)::BIGINT AS errors, coalesce(sum(w), 0)::BIGINT AS warnings
-FROM pairs JOIN documents d ON d.doc_id = pairs.id LEFT JOIN counts ON counts.id = pairs.id GROUP BY d.source, d.lang""",
+  UNION ALL SELECT id, 'untranslated', 'warn' FROM pairs WHERE trim(source, ' ' || chr(10) || chr(9) || chr(13)) = trim(target, ' ' || chr(10) || chr(9) || chr(13)) AND len(list_filter(regexp_split_to_array(source, '\\s+'), lambda w: w <> '')) >= 3
+  UNION ALL SELECT id, 'containment', 'error' FROM pairs WHERE len(list_filter(string_split(target, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13)) = '')) > 0 AND len(list_filter(string_split(source, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13)) = '')) = 0
+), held AS (SELECT d.source AS doc_id, d.lang, pairs.id, target FROM pairs JOIN documents d ON d.doc_id = pairs.id),
+counts AS (SELECT doc_id, lang, rule, severity, count(*) AS n FROM found JOIN held USING (id) GROUP BY doc_id, lang, rule, severity),
+sums AS (SELECT doc_id, lang, sum(n) FILTER (WHERE severity = 'error') AS e, sum(n) FILTER (WHERE severity = 'warn') AS w FROM counts GROUP BY doc_id, lang),
+ruled AS (SELECT doc_id, lang, string_agg(rule || ':' || n, ',' ORDER BY rule) AS by_rule FROM (SELECT doc_id, lang, rule, sum(n)::BIGINT AS n FROM counts GROUP BY doc_id, lang, rule) GROUP BY doc_id, lang),
+whole AS (SELECT doc_id, lang, count(*) AS segments, count(*) FILTER (WHERE target <> '') AS translated FROM held GROUP BY doc_id, lang)
+SELECT w.doc_id, w.lang, segments, translated, coalesce(e, 0)::BIGINT AS errors, coalesce(s.w, 0)::BIGINT AS warnings, coalesce(by_rule, '') AS by_rule
+FROM whole w LEFT JOIN sums s ON s.doc_id IS NOT DISTINCT FROM w.doc_id AND s.lang IS NOT DISTINCT FROM w.lang LEFT JOIN ruled r ON r.doc_id IS NOT DISTINCT FROM w.doc_id AND r.lang IS NOT DISTINCT FROM w.lang""",
 )
 def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.check_reports(checked_pairs(spark, sf_dir)).drop("by_rule")
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("by_rule")), lambda e: F.concat(e.key, F.lit(":"), e.value.cast("string"))), ",")
+    return reports.check_reports(checked_pairs(spark, sf_dir)).withColumn("by_rule", told)
 
 
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -589,16 +655,6 @@ def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select(queued(spark, sf_dir), "polish").select("doc_id", "id")
 
 
-@query(
-    "q34_apply_conflicts",
-    f"""WITH {SEGMENTS}, s AS (SELECT doc_id, pos, source, (doc_id + pos) % 6 AS k FROM segs WHERE pos <= 2)
-SELECT doc_id, 's' || lpad(pos::VARCHAR, 4, '0') AS id, CASE WHEN pos % 2 = 0 THEN 'conflict' ELSE 'applied' END AS outcome FROM s
-UNION ALL SELECT doc_id, 'none', 'unknown' FROM documents""",
-)
-def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proposed(spark, sf_dir, queued(spark, sf_dir).where("pos <= 2"))
-
-
 def proposed(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
     """Outcomes of a proposal for each segment, on another base for every second one, and of one for a missing segment."""
     token = segment_hash(F.coalesce("target", F.lit("")))
@@ -608,13 +664,12 @@ def proposed(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
 
 
 @query(
-    "q34b_apply_conflicts_all",
+    "q34_apply_conflicts",
     f"""WITH {SEGMENTS}
 SELECT doc_id, 's' || lpad(pos::VARCHAR, 4, '0') AS id, CASE WHEN pos % 2 = 0 THEN 'conflict' ELSE 'applied' END AS outcome FROM segs
 UNION ALL SELECT doc_id, 'none', 'unknown' FROM documents""",
 )
-def q34b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A proposal for every segment, as q34 and its SQL hold the first two of a document only."""
+def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proposed(spark, sf_dir, queued(spark, sf_dir))
 
 
@@ -694,32 +749,32 @@ def q40b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q41_spacing",
-    r"""SELECT doc_id, regexp_replace(regexp_replace('中文' || substr(text, 1, 40) || '文字', '([一-鿿])([A-Za-z0-9$])', '\1 \2', 'g'), '([A-Za-z0-9%$)])([一-鿿])', '\1 \2', 'g') AS spaced FROM documents""",
-)
-def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", spaced(F.concat(F.lit("中文"), F.substring("text", 1, 40), F.lit("文字"))).alias("spaced"))
-
-
-@query(
-    "q41b_spacing_whole",
     r"""SELECT doc_id, regexp_replace(regexp_replace('中文' || replace(text, chr(10), '文' || chr(10) || '中') || '文字', '([一-鿿])([A-Za-z0-9$])', '\1 \2', 'g'), '([A-Za-z0-9%$)])([一-鿿])', '\1 \2', 'g') AS spaced FROM documents""",
 )
-def q41b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, as q41 and its SQL hold their first 40 characters only."""
+def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, with Chinese around each of their lines."""
     lines = F.replace(F.col("text"), F.lit("\n"), F.lit("文\n中"))
     return table(spark, sf_dir, "documents").select("doc_id", spaced(F.concat(F.lit("中文"), lines, F.lit("文字"))).alias("spaced"))
 
 
-@query("q42_collapse_space", "SELECT n_nationkey, 'a ' || n_name || '  ' || chr(10) || '  b c' || chr(10) || 'd' AS collapsed FROM nation")
+@query(
+    "q42_collapse_space",
+    r"""SELECT doc_id, sha1(regexp_replace(regexp_replace(replace(text, ' ', chr(9) || ' '), '([^ \t\n])[ \t]+\n', '\1' || chr(10), 'g'), '([^ \t\n])[ \t]{2,}', '\1 ', 'g')) AS collapsed_sha1 FROM documents WHERE NOT regexp_matches(text, '(^|\n)[ \t]|[ \t](\n|$)|[ \t][ \t]')""",
+)
 def q42(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("a   "), "n_name", F.lit("    \n  b \t c \n"), F.lit("d \t"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", collapsed(text).alias("collapsed"))
+    """Texts whose single blanks have become a tab and a blank, collapsed again."""
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(^|\n)[ \t]|[ \t](\n|\z)|[ \t][ \t]"))
+    return docs.select("doc_id", F.sha1(collapsed(F.replace("text", F.lit(" "), F.lit("\t "))).cast("binary")).alias("collapsed_sha1"))
 
 
-@query("q42b_full_width", "SELECT n_nationkey, '中文，文字；好：（文' || n_name || '）。' AS wide FROM nation")
+@query(
+    "q42b_full_width",
+    r"""SELECT doc_id, sha1('中文，文字；好：（文' || regexp_replace(text, '[,;:!?()" ]', '', 'g') || '）。') AS wide_sha1 FROM documents""",
+)
 def q42b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("中文,文字 ; 好: (文"), "n_name", F.lit(")  。"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", full_width(F.regexp_replace(text, " ;", ";")).alias("wide"))
+    inner = F.regexp_replace("text", '[,;:!?()" ]', "")
+    text = F.concat(F.lit("中文,文字;好: (文"), inner, F.lit(")  。"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha1(full_width(text).cast("binary")).alias("wide_sha1"))
 
 
 # ---- what SQL does not say --------------------------------------------------------------------------
@@ -732,20 +787,35 @@ def q43(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", decoded(F.col("content"), ("utf-8", "shift_jis", "cp950", "gbk", "cp1252")).alias("d")).select("id", "d.*")
 
 
-@query("q44_sentences", "SELECT doc_id, sha1(text) AS joined_sha1 FROM documents")
+#: Sentences in SQL, for texts without placeholders: pieces that end in marks, and whether each end is a sentence's.
+SENTENCES = r"""
+pieces AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？.!?…⋯]*[。！？.!?…⋯]+[’”»›」』〉》】〕｝）)\]}]*(?:["''*_~]+(?:\s+|$)|\s*)|[^。！？.!?…⋯]+$') AS p FROM documents)
+), told AS (
+  SELECT *, regexp_extract(piece, '[。！？.!?…⋯]+') AS marks, substr(lead(piece) OVER w, 1, 1) AS first,
+    regexp_extract(piece, '([A-Za-zÀ-ɏ]?[A-Za-zÀ-ɏ''’-]*)[。！？.!?…⋯]', 1) AS word, regexp_matches(piece, '\.[’”»›」』〉》】〕｝）)\]}"''*_~]*\s') AS spaced
+  FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), ends AS (
+  SELECT *, marks <> '' AND (first IS NULL OR (
+      (marks <> '.' OR (spaced AND word NOT IN ('Mr','Mrs','Ms','Dr','Prof','St','Sr','Jr','Mt','Capt','Lt','Sgt','Col','Gen','Rev','Hon') AND NOT (length(word) = 1 AND upper(word) = word AND lower(word) <> word)))
+      AND NOT contains('，、；：,;:」』〉》】〕｝）)]}', first)
+      AND CASE WHEN regexp_matches(marks, '[。！？.!?]') THEN NOT (lower(first) = first AND upper(first) <> first) ELSE contains('「『（《〈【〔｛“‘"''([{', first) OR (upper(first) = first AND lower(first) <> first) END)) AS ends
+  FROM told
+), numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ends),
+split AS (SELECT doc_id, s, string_agg(piece, '' ORDER BY i) AS sentence FROM numbered GROUP BY doc_id, s)"""
+
+
+@query("q44_sentences", f"WITH {SENTENCES} SELECT doc_id, count(*) AS n, sha1(string_agg(sentence, chr(31) ORDER BY s)) AS split_sha1 FROM split GROUP BY doc_id")
 def q44(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", sentences(F.col("text")).alias("s"))
-    return df.select("doc_id", F.sha1(F.array_join("s", "").cast("binary")).alias("joined_sha1"))
-
-
-@query("q44b_sentence_counts")
-def q44b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(sentences(F.col("text"))).cast("long").alias("n"))
+    """Every sentence of every document, by a digest of them with a mark in between, and their number."""
+    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    return df.select("doc_id", F.size("s").cast("long").alias("n"), F.sha1(F.array_join("s", "\x1f").cast("binary")).alias("split_sha1"))
 
 
 @query("q45_terms")
 def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = document_segments(spark, sf_dir).where("lang = 'en'").select(F.lit(0).alias("book"), (F.col("doc_id") * 100_000 + F.col("pos")).alias("pos"), F.concat_ws("/", "doc_id", "id").alias("id"), "masked")
+    s = document_segments(spark, sf_dir).where("lang = 'en'").select(F.lit(0).alias("book"), F.struct("doc_id", "pos").alias("pos"), F.concat_ws("/", "doc_id", "id").alias("id"), "masked")
     found = terms.candidate_terms(s, keys=("book",))
     return terms.unknown_terms(found, spark.createDataFrame([("The",), ("And",)], "source string")).select("source", "count", "mid_sentence", F.array_join("examples", " ").alias("examples"))
 
@@ -759,35 +829,8 @@ def markdown_text() -> Column:
     )
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Markdown document for each region: a heading, a quotation, a table of its nations and a list of parts."""
-    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("n"))
-    parts = table(spark, sf_dir, "part").where("p_partkey < 50").groupBy((F.col("p_partkey") % 5).cast("int").alias("r_regionkey")).agg(F.array_sort(F.collect_list("p_name")).alias("p"))
-    rows = table(spark, sf_dir, "region").join(nations, "r_regionkey").join(parts, "r_regionkey")
-    return rows.select(F.col("r_regionkey").cast("long").alias("doc_id"), "n", "p", markdown_text().alias("text"))
-
-
-@query(
-    "q46_markdown_segments",
-    """WITH n AS (SELECT n_regionkey AS k, count(*) AS c FROM nation GROUP BY 1), p AS (SELECT p_partkey % 5 AS k, count(*) AS c FROM part WHERE p_partkey < 50 GROUP BY 1),
-r AS (SELECT r_regionkey AS k, n.c AS nations, p.c AS parts FROM region JOIN n ON n.k = r_regionkey JOIN p ON p.k = r_regionkey)
-SELECT k::BIGINT AS doc_id, kind, n FROM (SELECT k, 'heading' AS kind, 1::BIGINT AS n FROM r UNION ALL SELECT k, 'quote', 1 FROM r UNION ALL SELECT k, 'cell', nations + 2 FROM r UNION ALL SELECT k, 'list', parts FROM r)""",
-)
-def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = segments_of(segment_markdown(markdown(spark, sf_dir)), "doc_id")
-    return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("q46b_markdown_round_trip")
-def q46b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = segment_markdown(markdown(spark, sf_dir))
-    blocks = rendering.render_blocks(nodes_of(cut, "doc_id"), segments_of(cut, "doc_id").withColumn("target", F.lit(None).cast("string")), fallback=True, keys=("doc_id",))
-    back = rendering.render(blocks, keys=("doc_id",)).withColumnRenamed("text", "back")
-    return cut.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("same"), "missing")
-
-
 def markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Markdown document like those of ``markdown`` for each run of 100 part keys, so that every part is in one."""
+    """A Markdown document for each run of 100 part keys: a heading, a quotation, a table of a region's nations and a list of the parts."""
     nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("n"))
     regions = table(spark, sf_dir, "region").join(nations, "r_regionkey")
     runs = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 100").alias("doc_id")).agg(F.array_sort(F.collect_list("p_name")).alias("p"))
@@ -796,26 +839,33 @@ def markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "q46c_markdown_segments_all",
-    """WITH n AS (SELECT n_regionkey AS k, count(*) AS c FROM nation GROUP BY 1), p AS (SELECT (p_partkey // 100)::BIGINT AS d, count(*) AS c FROM part GROUP BY 1),
-r AS (SELECT d, n.c AS nations, p.c AS parts FROM p JOIN region ON r_regionkey = d % 5 JOIN n ON n.k = r_regionkey)
-SELECT d AS doc_id, kind, n FROM (SELECT d, 'heading' AS kind, 1::BIGINT AS n FROM r UNION ALL SELECT d, 'quote', 1 FROM r UNION ALL SELECT d, 'cell', nations + 2 FROM r UNION ALL SELECT d, 'list', parts FROM r)""",
+    "q46_markdown_segments",
+    """WITH d AS (SELECT DISTINCT (p_partkey // 100)::BIGINT AS doc_id FROM part), r AS (SELECT doc_id, r_regionkey, r_name FROM d JOIN region ON r_regionkey = doc_id % 5),
+every AS (
+  SELECT doc_id, 1 AS a, 0 AS b, 'heading' AS kind, r_name AS source FROM r
+  UNION ALL SELECT doc_id, 2, 0, 'quote', 'A region with `code`.' FROM r
+  UNION ALL SELECT doc_id, 3, 0, 'cell', 'nation' FROM r UNION ALL SELECT doc_id, 3, 1, 'cell', 'n' FROM r
+  UNION ALL SELECT doc_id, 4, row_number() OVER (PARTITION BY doc_id ORDER BY n_name), 'cell', n_name FROM r JOIN nation ON n_regionkey = r_regionkey
+  UNION ALL SELECT (p_partkey // 100)::BIGINT, 5, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_name), 'list', p_name FROM part)
+SELECT doc_id, 's' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY a, b))::VARCHAR, 4, '0') AS id, kind, source, substr(sha1(source), 1, 12) AS hash FROM every""",
 )
-def q46c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts, as q46 and its SQL hold 49 only."""
-    found = segments_of(segment_markdown(markdown_parts(spark, sf_dir)), "doc_id")
-    return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of Markdown documents that hold every part: order, kind, text and hash."""
+    return segments_of(segment_markdown(markdown_parts(spark, sf_dir)), "doc_id").select("doc_id", "id", "kind", "source", "hash")
 
 
-@query("q46d_markdown_round_trip_all", "SELECT DISTINCT (p_partkey // 100)::BIGINT AS doc_id, true AS same FROM part")
-def q46d(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("q46b_markdown_round_trip", "SELECT DISTINCT (p_partkey // 100)::BIGINT AS doc_id, true AS same FROM part")
+def q46b(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = segment_markdown(markdown_parts(spark, sf_dir))
     blocks = rendering.render_blocks(nodes_of(cut, "doc_id"), segments_of(cut, "doc_id").withColumn("target", F.lit(None).cast("string")), fallback=True, keys=("doc_id",))
     back = rendering.render(blocks, keys=("doc_id",)).withColumnRenamed("text", "back")
     return cut.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("same"))
 
 
-@query("q47_reseat")
+@query(
+    "q47_reseat",
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' ⟦2⟧ und ⟦1⟧' END AS text, CASE WHEN n_nationkey % 2 = 1 THEN '1 of ''`b`'' wanted, 0 free in the wording' END AS why FROM nation""",
+)
 def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = lambda *xs: masking.plain_slots(F.array(*map(F.lit, xs)))
     df = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(" ⟦1⟧ und ⟦2⟧")).alias("text"))
@@ -825,21 +875,37 @@ def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q48_align")
 def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = document_segments(spark, sf_dir).withColumn("key", F.col("hash"))
+    s = cut_segments(spark, sf_dir).withColumn("key", F.col("hash"))
     prior = s.withColumn("target", F.when(F.col("pos") % 3 > 0, F.upper("masked")))
     fresh = s.where("pos % 5 <> 2")
     return carry_over(prior, fresh).select("doc_id", "id", "from_pos", "ambiguous")
 
 
-@query("q49_accept")
+@query(
+    "q49_accept",
+    f"""WITH {SEGMENTS}, known AS (SELECT DISTINCT source FROM segs WHERE doc_id % 2 = 0),
+flagged AS (SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(13)) = '' AS blank FROM lines),
+filled AS (SELECT doc_id, min(pos) FILTER (WHERE NOT blank) AS a, max(pos) FILTER (WHERE NOT blank) AS b FROM flagged GROUP BY doc_id),
+spaced AS (SELECT doc_id, count(*) FILTER (WHERE blank AND pos BETWEEN a AND b) > 0 AS by_blank FROM flagged JOIN filled USING (doc_id) GROUP BY doc_id),
+islands AS (SELECT *, CASE WHEN by_blank THEN sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY pos) ELSE pos END AS island FROM flagged JOIN spaced USING (doc_id)),
+blocks AS (SELECT doc_id, min(pos) AS pos, string_agg(line, chr(10) ORDER BY pos) AS source FROM islands WHERE NOT blank GROUP BY doc_id, island),
+cuts AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM blocks WHERE regexp_matches(regexp_replace(source, 'https?://[^\\s)\\]<>]+', '', 'g'), '{LETTER}'))
+SELECT doc_id, 's' || lpad(n::VARCHAR, 4, '0') AS id, CASE WHEN fit THEN 'memory' ELSE 'pending' END AS outcome, CASE WHEN fit THEN 'tm' END AS origin
+FROM (SELECT doc_id, n, k.source IS NOT NULL AND NOT regexp_matches(cuts.source, '(^|[^A-Za-z0-9])(tion|the|and)($|[^A-Za-z0-9])') AS fit FROM cuts LEFT JOIN known k ON k.source = cuts.source)""",
+)
 def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that the memory answers; wording in capitals has none of the protected terms that a source may hold, so it is refused there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit("technical").alias("tone"), F.lit("text").alias("format"), "text")
     segments, _ = segmented(docs, DNT)
-    known = document_memory(spark, sf_dir)
+    known = document_memory(document_segments(spark, sf_dir))
     return reused(segments, "zh-TW", memory=known, operations=("punct", "pangu"), dnt=DNT).select("doc_id", "id", "outcome", "origin")
 
 
-@query("q50_stub_translate")
+@query(
+    "q50_stub_translate",
+    f"""WITH {SEGMENTS}, {mask_sql("SELECT doc_id || '/' || pos AS id, source AS s FROM segs WHERE (doc_id + pos) % 6 = 0")}
+SELECT split_part(id, '/', 1)::BIGINT AS doc_id, 's' || lpad(split_part(id, '/', 2), 4, '0') AS id, regexp_extract(s, '^[ \t]*') || '[' || trim(s, ' ' || chr(9) || chr(13)) || ']' || regexp_extract(s, '[ \t\r]*$') AS target, 'llm:draft' AS origin, NULL::VARCHAR AS why FROM masked""",
+)
 def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = queued(spark, sf_dir)
     return translate(s, selection.select(s, "draft"), "de", stub_provider, glossary=GLOSSARY).select("doc_id", "id", "target", "origin", "why")
@@ -855,7 +921,7 @@ def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").schema
     docs = read_stream(spark, f"{sf_dir}/documents.parque[t]", schema)
     out = scratch_folder(spark, "stream")
-    stream_reuse(docs, document_memory(spark, sf_dir), f"{out}/log", f"{out}/checkpoint").awaitTermination()
+    stream_reuse(docs, document_memory(document_segments(spark, sf_dir)), f"{out}/log", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/log").select("doc_id", "id", "origin")
 
 
