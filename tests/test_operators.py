@@ -90,6 +90,17 @@ def test_memory(spark, tmp_path):
     assert memory.read_memory(spark, str(tmp_path / "out")).count() == 2
 
 
+def test_memory_keeps_the_last_append(spark, tmp_path):
+    """Of three appends the last one stands, whatever their files are called; within one append the last row does."""
+    for trial in range(4):
+        path = str(tmp_path / f"tm{trial}")
+        for n, target in enumerate(("first", "second", "third")):
+            rows = [("h", f"{target} a"), ("h", target), (f"only {n}", target)]
+            assert memory.append(spark.createDataFrame(rows, "hash string, target string").coalesce(1), path) == n + 1
+        found = {r.hash: r.target for r in memory.latest(memory.read_memory(spark, path).select("hash", "target", "seq"), ("hash",)).collect()}
+        assert found == {"h": "third", "only 0": "first", "only 1": "second", "only 2": "third"}
+
+
 def test_alignment():
     assert aligned(list("abc"), list("xabc")) == [None, 0, 1, 2]
     assert aligned(list("aa"), list("aaa")) == [None, None, None]  # a run of one key that changed its length
@@ -120,7 +131,9 @@ def test_selection_and_apply(spark):
     assert ids(selection.select(s, "draft", include_all=True)) == ["s0001"]
     assert ids(selection.select(s, "draft", include_all=True, over_human=True)) == ["s0001", "s0002"]
     assert ids(selection.select(s, "polish", over_human=True)) == ["s0002"]
-    assert ids(selection.select(s, ids=["s0003"])) == ["s0003"]
+    named = spark.createDataFrame([("d", "s0003"), ("e", "s0001")], "doc_id string, id string")
+    assert ids(selection.select(s, ids=named)) == ["s0003"]  # an id counts in its own document
+    assert selection.size_of(selection.select(s, "draft")).first() == (1, len("Hello there"))
     incoming = spark.createDataFrame([("d", "s0001", "Hallo"), ("d", "s0002", "Tag"), ("d", "s0009", "x"), ("d", "s0003", " ")], "doc_id string, id string, text string")
     got = {r.id: r.outcome for r in selection.apply(s, incoming, "de", origin="llm:draft").collect()}
     assert got == {"s0001": "applied", "s0002": "refused", "s0009": "unknown", "s0003": "blank"}
@@ -161,23 +174,221 @@ def test_translate_and_repair(spark, tmp_path):
     assert saved == [0] and fixed.where("id = 's0001'").first().target == "[Hello there]"
 
 
-def test_state(spark, tmp_path):
-    state = State(spark, str(tmp_path / "state"))
+def stored_state(spark, tmp_path):
+    state = State(spark, str(tmp_path / "state"), wait=2.0)
     docs = spark.createDataFrame([("d", "de")], "doc_id string, lang string")
     nodes = spark.createDataFrame([("d", "de", 1, "raw", "x", None)], "doc_id string, lang string, pos int, t string, v string, seg_id string")
-    assert state.versions() == []
     state.replace(docs, nodes, stored(spark))
-    state.replace(docs.withColumn("lang", F.lit("fr")), nodes.withColumn("lang", F.lit("fr")), stored(spark).withColumn("lang", F.lit("fr")))
+    return state, docs, nodes
+
+
+def test_state_keeps_documents_apart(spark, tmp_path):
+    state, docs, nodes = stored_state(spark, tmp_path)
+    before = sorted(p.stat().st_mtime_ns for p in (tmp_path / "state" / "data").rglob("*.parquet"))
+    fr = lambda df: df.withColumn("lang", F.lit("fr"))
+    state.replace(fr(docs), fr(nodes), fr(stored(spark)))
     assert state.versions() == [1, 2] and state.documents().count() == 2 and state.read("segments", 1).count() == 3
-    wording = spark.createDataFrame([("d", "de", "s0001", "eins", "agent")], "doc_id string, lang string, id string, target string, origin string")
-    state.append_targets(wording, 1)
-    state.append_targets(wording.withColumn("target", F.lit("zwei")), 2)
-    state.append_targets(wording.withColumn("target", F.lit("zwei")), 2)
-    assert state.current().where("id = 's0001' AND lang = 'de'").first().target == "zwei"
-    incoming = wording.select("doc_id", "lang", F.explode(F.array(*map(F.lit, ("s0001", "s0002", "s0003", "s9")))).alias("id"), "target", F.lit("llm:draft").alias("origin"), F.lit("stale").alias("expect"))
-    checked = wording.select("doc_id", "lang", "id", F.lit("x").alias("issues"), F.lit("").alias("token")).union(stored(spark).where("id = 's0002'").select("doc_id", "lang", "id", F.lit("y"), target_token(F.col("target"))))
-    assert [r.id for r in still_true(stored(spark), checked).collect()] == ["s0002"]
-    assert {r.id: r.outcome for r in guarded(stored(spark), incoming).collect()} == {"s0001": "stale", "s0002": "refused", "s0003": "stale", "s9": "unknown"}
+    assert before == sorted(p.stat().st_mtime_ns for p in (tmp_path / "state" / "data").rglob("*.parquet"))[: len(before)]  # nothing was rewritten
+    state.replace(docs, nodes, stored(spark).where("id = 's0002'"))
+    assert [r.id for r in state.current("d", "de").collect()] == ["s0002"] and state.current(lang="fr").count() == 3
+    assert [(r.doc_id, r.lang, [s.id for s in r.segments]) for r in state.tracked().collect()] == [("d", "de", ["s0002"]), ("d", "fr", ["s0001", "s0002", "s0003"])]
+    newer = State(spark, str(tmp_path / "newer"))
+    with newer.turn() as mine:
+        mine.add("documents", docs.withColumn("state_version", F.lit(99)).unionByName(docs.select(F.lit("old").alias("doc_id"), "lang", F.lit(1).alias("state_version"))))
+    assert newer.documents("old").count() == 1 and newer.read("documents").count() == 2
+    with pytest.raises(ValueError):
+        newer.documents()
+
+
+def test_state_guarded_writes(spark, tmp_path):
+    state, docs, nodes = stored_state(spark, tmp_path)
+    rows = [("s0001", "eins", "llm:draft", None), ("s0002", "zwei", "llm:draft", None), ("s0003", "drei", "agent", "other"), ("s9", "neun", "agent", None)]
+    incoming = spark.createDataFrame([("d", "de", *r) for r in rows], "doc_id string, lang string, id string, target string, origin string, expect string")
+    assert {r.id: r.outcome for r in state.write_segments(incoming).collect()} == {"s0001": "written", "s0002": "refused", "s0003": "stale", "s9": "unknown"}
+    now = lambda: {r.id: r for r in state.current().collect()}
+    assert (now()["s0001"].target, now()["s0001"].origin) == ("eins", "llm:draft") and now()["s0002"].target == "Guten Tag" and now()["s0003"].target == "x"
+    token = state.current().where("id = 's0001'").select(target_token(F.col("target")).alias("t")).first().t
+    issues = spark.createDataFrame([("d", "de", "s0001", ["length: short"], token), ("d", "de", "s0003", ["tags: lost"], "another")], "doc_id string, lang string, id string, issues array<string>, token string")
+    assert [r.id for r in state.write_issues(issues).collect()] == ["s0001"] and now()["s0001"].issues == ["length: short"] and now()["s0003"].issues is None
+    names = spark.createDataFrame([("d", "de", i) for i in ("s0001", "s0003", "s9")], "doc_id string, lang string, id string")
+    assert {r.id: r.outcome for r in state.write_review(names).collect()} == {"s0001": "applied", "s0003": "unchanged", "s9": "unknown"}
+    assert now()["s0001"].review == "held" and now()["s0001"].issues == ["length: short"]  # a review touches nothing else
+    assert {r.id: r.outcome for r in state.write_review(names, None).collect()} == {"s0001": "applied", "s0003": "applied", "s9": "unknown"} and now()["s0003"].review is None
+    with pytest.raises(ValueError):
+        state.write_review(names, "liked")
+    state.write_targets(incoming.where("id = 's0001'").select("doc_id", "lang", "id", F.lit("uno").alias("target"), "origin"))
+    assert now()["s0001"].target == "uno" and now()["s0001"].issues is None  # issues told of the wording that went
+    state.replace(docs, nodes, stored(spark))
+    assert now()["s0001"].target is None  # patches are of the document as it was
+    assert {r.id: r.outcome for r in guarded(stored(spark), incoming, over_human=True).collect()}["s0002"] == "written"
+    checked = issues.select("doc_id", "lang", "id", "issues", "token")
+    assert still_true(stored(spark), checked).count() == 0
+
+
+def test_state_writers_take_turns(spark, tmp_path):
+    import threading
+
+    state, _, _ = stored_state(spark, tmp_path)
+    state.wait = 120.0
+    row = lambda n, i: spark.createDataFrame([("d", "de", i, f"wording {n}", "agent", None)], "doc_id string, lang string, id string, target string, origin string, expect string")
+    empty = state.current().where("id = 's0001'").select(target_token(F.col("target")).alias("t")).first().t
+    won = []
+
+    def write(n):
+        out = state.write_segments(row(n, "s0001").withColumn("expect", F.lit(empty))).first().outcome
+        won.append(out)
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(won) == ["stale", "stale", "written"] and state.versions() == [1, 2, 3, 4]
+    with pytest.raises(RuntimeError), state.turn() as mine:
+        raise RuntimeError("a writer fails")
+    assert mine.number == 5 and state.versions() == [1, 2, 3, 4]
+    state.wait = 0.3
+    (tmp_path / "state" / "commits" / f"{5:012d}.claim").touch()
+    with pytest.raises(TimeoutError):
+        state.write_segments(row(9, "s0002"))
+
+
+def test_project_commands(spark, tmp_path):
+    """From files to stored, translated, checked, committed and rendered documents, and the status over projects."""
+    from quireline.plans import project as plan
+
+    root = tmp_path / "books" / "one"
+    root.mkdir(parents=True)
+    assert settings.scaffold(str(root)) == ["lx.config.json", "config/glossary.csv", "config/dnt.txt", "config/style.txt"] and settings.scaffold(str(root)) == []
+    settings.write_setting(str(root / "lx.config.json"), "targets", ["de"])
+    settings.write_setting(str(root / "lx.config.json"), "sources", "src")
+    with pytest.raises(ValueError):
+        settings.write_setting(str(root / "lx.config.json"), "batch.size", "many")
+    config = settings.load_config((root / "lx.config.json").read_text())
+    (root / "src").mkdir()
+    (root / "src" / "a.txt").write_text("We met Anna Berg there. Then Anna Berg left us.\n\nThe end of it.\n")
+    (root / "src" / "b.md").write_text("# New\n")
+    docs = read_documents(spark, str(root / "src"), root=str(root)).where("source LIKE '%a.txt'")
+    state = State(spark, str(root / ".lx" / "state"))
+    plan.extract(state, docs, "de", config)
+    doc_id = state.documents().first().doc_id
+    assert [r.source for r in plan.propose_terms(state, "de", config, spark.createDataFrame([], "source string"), str(root / "config" / "glossary.csv")).collect()] == ["Anna Berg"]
+    assert (root / "config" / "glossary.csv").read_text().endswith("Anna Berg,,,error\n")
+    with pytest.raises(ValueError):
+        plan.propose_terms(state, "de", config | {"source_lang": "fr"}, spark.createDataFrame([], "source string"))
+    wording = state.current().withColumns({"target": F.concat(F.lit("DE "), "masked"), "origin": F.lit("agent")}).select("doc_id", "lang", "id", "target", "origin")
+    state.write_targets(wording.where("id = 's0001'"))
+    each, issues = plan.check(state, settings.rules_of(config, "de"), str(root / ".lx" / "reports"))
+    assert each.first().by_rule == {"missing": 1} and state.current().where("id = 's0002'").first().issues == ["missing: no translation"]
+    assert plan.commit(state, "de", str(root / "tm")) == 1 and plan.commit(state, "de", str(root / "tm")) == 2  # the second has nothing new
+    assert memory.read_memory(spark, str(root / "tm")).count() == 1
+    known = memory.latest(memory.keyed(memory.read_memory(spark, str(root / "tm"))))
+    plan.extract(state, docs.withColumn("text", F.concat(F.lit("A first line.\n\n"), "text")), "de", config, known)
+    assert {r.id: r.target for r in state.current().collect()}["s0002"].startswith("DE We met")  # carried over
+    assert plan.render(state, str(root), config, "de", fallback=True) == ["i18n/de/src/a.txt"]
+    assert (root / "i18n" / "de" / "src" / "a.txt").read_text().startswith("A first line.\n\nDE We met")
+    bad = tmp_path / "books" / "two"
+    bad.mkdir()
+    (bad / "lx.config.json").write_text("{")
+    one, two = plan.status(spark, str(tmp_path / "books"), scan=True)
+    assert (one["documents"][0]["doc_id"], one["documents"][0]["segments"], one["documents"][0]["stale"]) == (doc_id, 3, True)
+    assert [u["label"] for u in one["untracked"]] == ["src/b.md"] and one["totals"]["documents"] == 1 and one["languages"][0]["lang"] == "de"
+    assert two["error"] and two["documents"] == [] and two["totals"] is None
+
+
+def test_shown_and_ordered(spark):
+    from quireline.operators import reports, terms
+
+    rows = spark.createDataFrame([("d", "de", f"s{k:04d}", "tags", "m") for k in range(30)], "doc_id string, lang string, seg string, rule string, message string")
+    out = reports.shown(rows).collect()
+    assert [r.seg for r in out] == [f"s{k:04d}" for k in range(25)] and {r.more for r in out} == {5}
+    ranked = terms.ranked(spark.createDataFrame([("b", 2), ("a", 2), ("c", 9)], "source string, count long"))
+    assert [r.source for r in ranked.collect()] == ["c", "a", "b"]
+    many = spark.createDataFrame([(f"l{k:05d}",) for k in range(12_000)], "lang string")
+    docs = spark.createDataFrame([("x",)], "doc_id string")
+    assert reports.untracked(docs, many, spark.createDataFrame([("X", "l00007")], "doc_id string, lang string")).count() == 11_999
+    assert settings.providers({"providers": {"z": {"kind": "k"}, "a": {}}})[0]["name"] == "a"
+    from quireline.sources.projects import model_listing
+
+    assert model_listing([{"id": "b"}, {"id": "a\n"}, {"id": "a", "status": "on"}, {"id": "x" * 999}, 3]) == [{"id": "a", "status": "on"}, {"id": "b", "status": None}]
+
+
+def test_format_options_reach_segmentation(spark, tmp_path):
+    from quireline.plans import project as plan
+
+    config = settings.load_config('{"formats": {"text": {"paragraph_mode": "line", "chapter_patterns": ["kapitel \\\\d+$"]}}}')
+    docs = spark.createDataFrame([("d", "d.txt", "text", "\n", "Kapitel 3\nOne\ntwo\n\nthree")], "doc_id string, source string, format string, eol string, text string")
+    state = State(spark, str(tmp_path / "s"))
+    plan.extract(state, docs, "de", config)
+    assert [(r.source, r.kind) for r in state.current().orderBy("pos").collect()] == [("Kapitel 3", "heading"), ("One", "para"), ("two", "para"), ("three", "para")]
+
+
+def test_provider_is_asked_once_and_waited_for(spark, tmp_path):
+    """Answers are written, so each batch is asked once though they are read twice; an unavailable provider is given time."""
+    from quireline.plans.translate import Unavailable, asked
+
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def counted(system, request):
+        import uuid
+
+        (log / uuid.uuid4().hex).touch()
+        return stub_provider(system, request)
+
+    every = stored(spark).withColumn("review", F.lit(None).cast("string"))
+    out = translate(every, every, "de", counted, size=2)
+    assert out.count() == 3 and out.where("target IS NOT NULL").count() == 3 and len(list(log.iterdir())) == 2
+
+    def busy(system, request):
+        raise Unavailable("later", retry_after="7")
+
+    def noted(seconds):
+        (log / f"waited-{seconds}").touch()
+
+    row = asked(spark.createDataFrame([("d", "[]")], "doc_id string, payload string"), busy, "", retries=3, wait=noted).first()
+    assert row.reply is None and row.failure == "later" and (log / "waited-7.0").exists()
+
+
+def test_align_and_terms_against_plain(spark, sf_dir):
+    """q48 and q45 against the same in plain Python."""
+    import difflib
+    from collections import Counter, defaultdict
+
+    from quireline import queries as catalogue
+
+    rows = catalogue.document_segments(spark, sf_dir).select("doc_id", "lang", "pos", "id", "hash", "masked").collect()
+    docs = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.pos)):
+        docs[r.doc_id].append(r)
+    expected = set()
+    for d, old in docs.items():
+        new = [r for r in old if r.pos % 5 != 2]
+        a, b = [r.hash for r in old], [r.hash for r in new]
+        done = {r.pos: r.pos % 3 > 0 for r in old}
+        place = [None] * len(new)
+        if b and len(a) * max(Counter(b).values()) <= 8_000_000:
+            for i, j, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
+                if n and not (len(set(b[j : j + n])) == 1 and a.count(b[j]) != b.count(b[j])):
+                    place[j : j + n] = old[i : i + n]
+        for r, was in zip(new, place):
+            held = [o.pos for o in old if o.hash == r.hash and done[o.pos]]
+            expected.add((d, r.id, (was.pos if done[was.pos] else None) if was else (held[-1] if held else None), was is None and bool(held)))
+    assert {(r.doc_id, r.id, r.from_pos, r.ambiguous) for r in catalogue.queries()["q48_align"](spark, sf_dir).collect()} == expected
+
+    from quireline.functions.values import ABBREVIATIONS, STOPWORDS
+
+    count, inside, where = Counter(), Counter(), defaultdict(list)
+    for d in sorted(docs):
+        for r in docs[d]:
+            if r.lang == "en":
+                for term, mid in sightings(r.masked, frozenset(ABBREVIATIONS), frozenset(STOPWORDS)):
+                    count[term] += 1
+                    inside[term] += mid
+                    if mid and f"{d}/{r.id}" not in where[term]:
+                        where[term].append(f"{d}/{r.id}")
+    plain = {(t, n, inside[t], " ".join(where[t][:3])) for t, n in count.items() if n >= 2 and inside[t] and t.lower() not in ("the", "and")}
+    assert {tuple(r[c] for c in ("source", "count", "mid_sentence", "examples")) for r in catalogue.queries()["q45_terms"](spark, sf_dir).collect()} == plain
 
 
 def test_documents(spark, tmp_path):
@@ -200,9 +411,11 @@ def test_settings(spark, tmp_path):
     with pytest.raises(ValueError):
         settings.set_value(config, "batch.size.x", 1)
     assert settings.route({"routing": {"draft": {"provider": "p", "model": "m"}}, "providers": {}}, "polish") == ("p", "m")
-    assert settings.protected_terms("# c\nGo\nCelurion\n\nGo\n") == ["Celurion", "Go"]
+    assert settings.protected_terms("# c\nGo\nMarrowfen\n\nGo\n") == ["Marrowfen", "Go"]
     assert settings.style_sheet("# x\nCalm.\n[Ann, Miss A]\nShort.\n[Bob]\n\n") == ("Calm.", [{"names": ["Ann", "Miss A"], "notes": "Short."}])
     (tmp_path / "g.csv").write_text("source,target,forbidden,severity\n# c\ncat,Katze,Kater;Mieze,\ndog\n")
+    (tmp_path / "h.csv").write_text("a,b\nSource,target\nsource,target,,warn\n")
+    assert {r.source for r in settings.read_glossary(spark, str(tmp_path / "h.csv")).collect()} == {"a", "Source", "source"}  # a header is one on the first line alone
     row = settings.read_glossary(spark, str(tmp_path / "g.csv")).first()
     assert (row.source, row.target, row.forbidden, row.severity) == ("cat", "Katze", ["Kater", "Mieze"], "error")
 
