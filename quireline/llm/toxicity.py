@@ -9,7 +9,9 @@ The models are trained on a bounded sample: of the labelled documents, about ``Q
 of the last category, drawn by a hash of the id. All documents are scored, over all their words.
 
 Defined results: a null, empty or wordless text has no evidence and is not toxic, with both scores 0;
-labels that are null take no part, several of one id are averaged; without labels nothing is toxic;
+a text of any length counts whole; a score of exactly the threshold is not toxic; labels that are null
+take no part, several of one id are averaged; an id that several documents have is trained on with each
+of them, as far as the sample goes; without labels nothing is toxic;
 rows come back once each, repeated or not; other columns are dropped first, so their names clash with
 nothing; an empty table gives an empty result.
 """
@@ -168,9 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, chain: Sequence[str] = CHAIN, quot
         return None
     draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("_y"), min(1.0, quota / counts.get(True, 1))).otherwise(min(1.0, quota / counts.get(False, 1)))
-    sample = known.where(draw < rate).limit(4 * quota)  # a fixed number of rows, so it may be broadcast
+    sample = known.where(draw < rate).orderBy(draw, "_id").limit(4 * quota)  # a fixed number of rows, so it may be broadcast; in order, so the same ones each time
     made = arrow_function(lambda texts: [features(words(t), {}).tobytes() for t in texts], "binary")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_id", *[f"_{k}" for k in range(len(chain))], made(F.col("_text")).alias("f")).limit(4 * quota).collect()
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_id", *[f"_{k}" for k in range(len(chain))], made(F.col("_text")).alias("f"))
+    rows = rows.orderBy(F.xxhash64("_id"), "f").limit(4 * quota).collect()
     rows = sorted(rows, key=lambda r: (str(r["_id"]), r["f"]))
     if not rows:
         return None

@@ -26,6 +26,52 @@ def test_chain_feeds_later_models():
     assert not one.models[1].sparse.any()
 
 
+def plain_scores(chain, text):
+    """Each category's probability by one sum after another over the different words and their beginnings."""
+    import math
+    import re
+    import zlib
+
+    parts = set()
+    for w in set(re.findall(r"\w+|[^\w\s]", (text or "").lower())):
+        parts |= {w} | {f"{w[:n]}*" for n in (4, 5, 6, 7) if len(w) > n}
+    if not parts:
+        return [0.0] * len(chain.models)
+    buckets = {zlib.crc32(p.encode()) % toxicity.BUCKETS for p in parts}
+    odds = []
+    for m in chain.models:
+        odds.append(sum(float(m.sparse[b]) for b in buckets) + sum(w * o for w, o in zip(m.dense, odds)) + m.bias)
+    return [1 / (1 + math.exp(-x)) for x in odds]
+
+
+def test_query_against_plain(spark, sf_dir):
+    """The registered query over whole texts against the plain chain of the same training."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = queries.op7_toxicity(spark, sf_dir).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        quality, toxic = plain_scores(chain, texts[r.doc_id])
+        assert abs(r.quality_score - quality) < 1e-5 and abs(r.toxic_score - toxic) < 1e-5 and r.toxic == (r.toxic_score > toxicity.THRESHOLD)
+
+
+def test_plain_logistic_regression():
+    """A model's gradient is zero at its end, by the plain sum over rows."""
+    draw = np.random.default_rng(6)
+    y = draw.integers(0, 2, 400)
+    rows = [np.array(sorted({int(b) for b in draw.integers(100, 400, 8)} | ({7} if v and draw.random() < 0.8 else set())), dtype=np.int32) for v in y]
+    owners, buckets = np.repeat(np.arange(400), [len(r) for r in rows]), np.concatenate(rows)
+    model = toxicity.Linear(0).fit(owners, buckets, np.zeros((400, 0)), y.astype(float), np.ones(400))
+    kept = np.flatnonzero(model.sparse)
+    assert 7 in kept
+    odds = [sum(float(model.sparse[b]) for b in r) + model.bias for r in rows]
+    error = [1 / (1 + np.exp(-o)) - v for o, v in zip(odds, y)]
+    for b in kept:
+        slope = sum(e for e, r in zip(error, rows) if b in r) / 400 + toxicity.PENALTY * float(model.sparse[b])
+        assert abs(slope) < 2e-3
+
+
 def test_tricky(spark, tricky, nothing, sf_dir):
     labels = spark.createDataFrame([(1, 1, 0), (7, 1, 1), (7, None, 1), (8, 0, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
     chain = toxicity.train(tricky, labels)
