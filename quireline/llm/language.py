@@ -36,7 +36,7 @@ WINDOW, HIDDEN = 96, 8
 #: Positions that a window of a text labels, and those it reads besides on either side.
 CORE, MARGIN = 256, 32
 #: Training windows for each language, about, for all together and of one document at most.
-QUOTA, SAMPLE, PLACES = 1_200, 300_000, 8
+QUOTA, SAMPLE, PLACES = 1_200, 100_000, 8
 STEPS, BATCH, RATE, SEED = 350, 128, 0.02, 7
 UNKNOWN = "und"
 #: Windows that go through the network together.
