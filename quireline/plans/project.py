@@ -8,14 +8,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireline.operators import memory, rendering, reports, terms
+from quireline.operators import memory, rendering, reports, selection, terms
 from quireline.operators.checks import Rules, check_segments
+from quireline.operators.context import system_prompt
 from quireline.operators.segment_text import segment_text
 from quireline.plans.export import rendered
 from quireline.plans.extract import FORMATS, reused, segmented
+from quireline.plans.translate import Provider, repair, translate
 from quireline.sources import projects, settings
-from quireline.sources.state import State, issue_lines, target_token
 from quireline.sources.documents import read_documents
+from quireline.sources.state import State, issue_lines, target_token, written
 
 REPORTS = f"{projects.STATE_FOLDER}/reports"
 
@@ -36,6 +38,42 @@ def extract(state: State, docs: DataFrame, lang: str, config: Mapping, known: Da
     return state.replace(told.select("doc_id", "lang", "source", "format", "eol", "tone"), nodes, out.drop("outcome"))
 
 
+def sources(spark: SparkSession, root: str, config: Mapping) -> DataFrame:
+    """The documents below the project's ``sources`` folder, read by its formats and encodings."""
+    names = {name: settings.format_options(config, name)["encodings"] for name in ("markdown", "text")}
+    folder = os.path.join(root, projects.confined_path(str(config["sources"]), root))
+    return read_documents(spark, folder, extensions=(config.get("formats") or {}).get("map"), encodings=names, root=root)
+
+
+def draft(state: State, lang: str, config: Mapping, provider: Provider, mode: str = "draft", glossary: Sequence[Mapping] = (), style: tuple[str, Sequence[Mapping]] = ("", ()), ids: DataFrame | None = None, limit: int = 0, over_human: bool = False, dry_run: bool = False) -> DataFrame:
+    """Ask a provider for a language's pending (or, by ``mode``, drafted) segments and store what is fit; a row for each segment.
+
+    ``dry_run`` asks nobody and gives the segments and characters that would be sent.
+    """
+    segments = state.current(lang=lang)
+    chosen = selection.select(segments, mode, ids, limit=limit, over_human=over_human, document=("doc_id", "lang"))
+    if dry_run:
+        return selection.size_of(chosen)
+    batch, (preamble, notes) = config["batch"], style
+    prompt = system_prompt(config["source_lang"], lang, config["tone"], mode, bool(batch["context"]), preamble=preamble)
+    operations = tuple((config.get("normalize") or {}).get(lang, ()))
+    out = written(translate(segments, chosen, lang, provider, prompt, batch["size"], glossary, notes, operations, mode), "drafts")
+    state.write_targets(out.where("target IS NOT NULL").select("doc_id", "lang", "id", "target", "origin"), over_human)
+    return out
+
+
+def mend(state: State, rules: Rules, config: Mapping, provider: Provider) -> DataFrame:
+    """Ask again for segments that fail a check, in rounds, and store each round; the segments as they stand then."""
+
+    def save(rows: DataFrame, _: int) -> DataFrame:
+        state.write_targets(rows.select("doc_id", "lang", "id", "target", "origin"))
+        return state.current(lang=rules.lang).drop("issues")
+
+    prompt = system_prompt(config["source_lang"], rules.lang, config["tone"], "repair", bool(config["batch"]["context"]))
+    segments = state.current(lang=rules.lang).drop("issues")
+    return repair(segments, rules, provider, save, config["batch"]["max_repair_rounds"], system=prompt, size=config["batch"]["size"], glossary=rules.glossary)
+
+
 def check(state: State, rules: Rules, folder: str | None = None, doc_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(reports, issues) of a language's documents, or one of them: issues are stored where wording has not changed meanwhile.
 
@@ -115,7 +153,7 @@ def _untracked(spark: SparkSession, path: str, config: Mapping, state: State, ta
     folder = config.get("sources")
     if not isinstance(folder, str) or not os.path.isdir(os.path.join(path, projects.confined_path(folder, path))):
         return []
-    found = read_documents(spark, os.path.join(path, folder), root=path).where("error IS NULL").select("doc_id", F.col("source").alias("label"))
+    found = sources(spark, path, config).where("error IS NULL").select("doc_id", F.col("source").alias("label"))
     known = state.read("documents").select("doc_id", "lang") if state.versions() else spark.createDataFrame([], "doc_id string, lang string")
     pairs = reports.untracked(found, spark.createDataFrame([(t,) for t in targets], "lang string"), known)
     return [r.asDict() for r in (pairs.where(F.col("lang") == lang) if lang else pairs).orderBy("label", "lang").toLocalIterator()]

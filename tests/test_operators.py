@@ -296,6 +296,29 @@ def test_project_commands(spark, tmp_path):
     assert two["error"] and two["documents"] == [] and two["totals"] is None
 
 
+def test_draft_and_mend(spark, tmp_path):
+    """A provider's wording goes into the state; what fails a check is asked for again."""
+    from quireline.plans import project as plan
+
+    state, _, _ = stored_state(spark, tmp_path)
+    config = settings.load_config('{"batch": {"size": 2}}')
+    assert plan.draft(state, "de", config, stub_provider, dry_run=True).first() == (1, len("Hello there"))
+    prompts = tmp_path / "prompts"
+
+    def noted(system, request):
+        prompts.write_text(system)
+        return stub_provider(system, request)
+
+    assert [(r.id, r.target) for r in plan.draft(state, "de", config, noted, style=("Stay calm.", ())).collect()] == [("s0001", "[Hello there]")]
+    assert "Stay calm." in prompts.read_text() and "into de" in prompts.read_text()
+    now = {r.id: (r.target, r.origin) for r in state.current().collect()}
+    assert now == {"s0001": ("[Hello there]", "llm:draft"), "s0002": ("Guten Tag", "human"), "s0003": ("x", "agent")}
+    lost = spark.createDataFrame([("d", "de", "s0001", "Hallo\r", "agent")], "doc_id string, lang string, id string, target string, origin string")
+    state.write_targets(lost)
+    mended = plan.mend(state, checks.Rules(lang="de"), config, stub_provider)
+    assert mended.where("id = 's0001'").first().target == "[Hello there]" and state.current().where("id = 's0001'").first().origin == "llm:repair"
+
+
 def test_shown_and_ordered(spark):
     from quireline.operators import reports, terms
 
