@@ -780,11 +780,19 @@ def q42b(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- what SQL does not say --------------------------------------------------------------------------
 
 
-@query("q43_encoding_detect")
+@query(
+    "q43_encoding_detect",
+    r"""WITH t AS (SELECT doc_id, text, doc_id % 4 AS k, doc_id % 4 = 3 AND regexp_full_match(text, '[\x{00}-\x{FF}]*') AND NOT regexp_full_match(text, '[\x{00}-\x{7F}]*') AS narrow FROM documents)
+SELECT doc_id, CASE WHEN k = 1 THEN 'utf-16-le' WHEN narrow THEN 'cp1252' ELSE 'utf-8' END AS encoding, sha1(CASE WHEN k IN (1, 2) THEN chr(65279) ELSE '' END || text) AS text_sha1, NULL::VARCHAR AS error FROM t""",
+)
 def q43(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = [(1, "中文測試".encode("cp950")), (2, "plain".encode()), (3, "日本語テスト".encode("shift_jis")), (4, b"\xff\xfe" + "x文".encode("utf-16-le")), (5, b"\x00\x01\x02"), (6, "﻿a".encode())]
-    df = spark.createDataFrame([(i, bytearray(b)) for i, b in samples], "id int, content binary")
-    return df.select("id", decoded(F.col("content"), ("utf-8", "shift_jis", "cp950", "gbk", "cp1252")).alias("d")).select("id", "d.*")
+    """Documents as bytes of four encodings, found out again: UTF-8, UTF-16 and UTF-8 with a mark, and one byte a character."""
+    t, k = F.col("text"), F.col("doc_id") % 4
+    marked = lambda charset: F.encode(F.concat(F.lit("﻿"), t), charset)
+    narrow = F.encode(F.when(t.rlike(r"^[\x00-\xFF]*\z"), t), "ISO-8859-1")
+    content = F.when(k == 1, marked("UTF-16LE")).when(k == 2, marked("UTF-8")).when((k == 3) & narrow.isNotNull(), narrow).otherwise(F.encode(t, "UTF-8"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", decoded(content, ("utf-8", "cp1252")).alias("d"))
+    return docs.select("doc_id", "d.encoding", F.sha1(F.col("d.text").cast("binary")).alias("text_sha1"), "d.error")
 
 
 #: Sentences in SQL, for texts without placeholders: pieces that end in marks, and whether each end is a sentence's.
