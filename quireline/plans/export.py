@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireline.functions.values import MARKERS
+from quireline.functions.sentences import sentences
+from quireline.functions.values import ABBREVIATIONS, MARKERS
 from quireline.operators import rendering, reports
 from quireline.operators.checks import Rules, check_segments
 from quireline.operators.context import glossary_hints, style_notes
@@ -23,6 +24,15 @@ def todo(segments: DataFrame, glossary: Sequence[dict] = (), style: Sequence[dic
     return chosen.select(*document, "pos", F.to_json(item, {"ignoreNullFields": "true"}).alias("item"))
 
 
+def sentence_list(segments: DataFrame, of: str = "target", abbreviations: Sequence[str] = ABBREVIATIONS) -> DataFrame:
+    """doc_id, lang, id, n (from 1) and sentence of each segment's wording or, ``of="source"``, masked source; segments without that text have none."""
+    if of not in ("target", "source"):
+        raise ValueError(f"sentences are of target or source, not {of!r}")
+    text = F.col("target" if of == "target" else "masked")
+    cut = segments.select("doc_id", "lang", "id", F.posexplode(sentences(text, abbreviations)).alias("n", "sentence"))
+    return cut.withColumn("n", F.col("n") + 1)
+
+
 def checked(segments: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     """(reports, issues): one row for each document, and one for each issue."""
     found = check_segments(segments, rules)

@@ -482,9 +482,12 @@ def test_projects(tmp_path):
 
 
 def test_exports(spark):
-    from quireline.plans.export import checked, rendered, todo
+    from quireline.plans.export import checked, rendered, sentence_list, todo
 
     s = stored(spark)
+    both = s.withColumn("target", F.when(F.col("id") == "s0002", "Guten Tag. Wie geht es?"))
+    assert [(r.id, r.n, r.sentence) for r in sentence_list(both).collect()] == [("s0002", 1, "Guten Tag. "), ("s0002", 2, "Wie geht es?")]
+    assert [r.sentence for r in sentence_list(s, "source").orderBy("id").collect()] == ["Hello there", "Good day", "Bye now"]
     item = json.loads(todo(s, [{"source": "hello", "target": "hallo"}]).first().item)
     assert item == {"id": "s0001", "kind": "para", "text": "Hello there", "glossary": ["hello -> hallo"]}
     report, issues = checked(s, checks.Rules(lang="de"))
