@@ -252,12 +252,26 @@ def q10b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("page_id", F.sha1(masking.unmasked(F.col("m.text"), F.col("m.originals")).cast("binary")).alias("html_sha1"))
 
 
-@query("q10c_tag_slots", f"WITH {mask_sql('SELECT page_id AS id, html AS s FROM pages')} SELECT id AS page_id, (s6.n - s5.n)::BIGINT AS n_tags FROM s5 JOIN s6 USING (id)")
+#: Each page's tags when its other spans have been taken. In pages whose tags nest, a closing tag closes one of its name that
+#: is open, so of each name as many stay alone as closing ones come too early.
+TAGS = rf"""{mask_sql('SELECT page_id AS id, html AS s FROM pages')},
+each AS (SELECT id, unnest(t) AS tag, generate_subscripts(t, 1) AS i FROM (SELECT id, regexp_extract_all(s, '</?[A-Za-z][A-Za-z0-9-]*(?:[ \t\n\r][^<>]*)?/?>') AS t FROM s5)),
+steps AS (SELECT id, i, lower(regexp_extract(tag, '</?([A-Za-z][A-Za-z0-9-]*)', 1)) AS name, CASE WHEN tag LIKE '</%' THEN -1 ELSE 1 END AS d FROM each WHERE tag NOT LIKE '%/>'),
+depth AS (SELECT *, sum(d) OVER (PARTITION BY id, name ORDER BY i) AS level FROM steps),
+names AS (SELECT id, name, count(*) FILTER (WHERE d < 0) + least(0, min(level)) AS pairs FROM depth GROUP BY id, name),
+tags AS (SELECT s5.id AS page_id, (s6.n - s5.n)::BIGINT AS n_tags, coalesce((SELECT sum(pairs) FROM names WHERE names.id = s5.id), 0)::BIGINT AS n_pairs FROM s5 JOIN s6 USING (id))"""
+
+
+@query("q10c_tag_slots", f"WITH {TAGS} SELECT page_id, n_tags, n_pairs, 2 * n_pairs AS n_halves FROM tags")
 def q10c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of each page, pairs of them, and slots that stand in a pair with one of either role."""
     tag = rf"^(?:{dict(INLINE)['htmltag']})\z"
     m = table(spark, sf_dir, "pages").select("page_id", masking.masked(F.col("html")).originals.alias("o"))
-    slots = F.map_values(masking.tag_slots(F.col("o")))
-    return m.select("page_id", F.size(F.filter(slots, lambda s: s.original.rlike(tag))).cast("long").alias("n_tags"))
+    slots = m.select("page_id", F.map_values(masking.tag_slots(F.col("o"))).alias("s"))
+    pairs = F.array_distinct(F.filter(F.transform("s", lambda s: s.pair_id), lambda p: p.isNotNull()))
+    whole = F.filter(pairs, lambda p: F.size(F.array_distinct(F.transform(F.filter("s", lambda s: s.pair_id == p), lambda s: s.role))) == 2)
+    halves = F.size(F.filter("s", lambda s: s.pair_id.isNotNull() & ~s.can_reorder))
+    return slots.select("page_id", F.size(F.filter("s", lambda s: s.original.rlike(tag))).cast("long").alias("n_tags"), F.size(whole).cast("long").alias("n_pairs"), halves.cast("long").alias("n_halves"))
 
 
 @query("q10d_repair_placeholders", "SELECT p_partkey, '⟦' || p_partkey || '⟧ x ⟦' || (p_partkey % 10) || '⟧' AS repaired FROM part")
@@ -363,16 +377,13 @@ def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_pages(spark, sf_dir).select("id", F.explode(checks.placeholder_sets(s, target)).alias("x")).select("id", "x.message")
 
 
-@query(
-    "q18_check_pairs",
-    """SELECT id, message FROM (VALUES
-  (2, 'pair inverted: ⟦1⟧ must come before ⟦2⟧'), (3, 'pairs cross: ⟦1⟧…⟦2⟧ and ⟦3⟧…⟦4⟧'), (4, 'pair inverted: ⟦3⟧ must come before ⟦4⟧')) v(id, message)""",
-)
+@query("q18_check_pairs", f"WITH {TAGS} SELECT page_id, 'tags' AS rule, n_pairs AS n FROM tags WHERE n_pairs > 0")
 def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "⟦1⟧a⟦3⟧b⟦4⟧⟦2⟧"), (2, "⟦2⟧a⟦1⟧⟦3⟧b⟦4⟧"), (3, "⟦1⟧a⟦3⟧b⟦2⟧c⟦4⟧"), (4, "⟦1⟧⟦2⟧⟦4⟧⟦3⟧"), (5, "⟦1⟧ ⟦3⟧")]
-    df = spark.createDataFrame(rows, "id int, target string")
-    slots = masking.tag_slots(F.array(*map(F.lit, ("<b>", "</b>", "<i>", "</i>"))))
-    return df.withColumn("slots", slots).select("id", F.explode(checks.tag_pairs(F.col("target"), F.col("slots"))).alias("x")).select("id", "x.message")
+    """Pages whose wording has all placeholders in reverse order, so that each pair of tags is inverted."""
+    m = table(spark, sf_dir, "pages").select("page_id", masking.masked(F.col("html")).alias("m")).select("page_id", "m.text", masking.tag_slots(F.col("m.originals")).alias("slots"))
+    backwards = F.array_join(F.reverse(F.transform(masking.placeholder_ids(F.col("text")), lambda k: F.concat(F.lit("⟦"), k, F.lit("⟧")))), " ")
+    found = m.select("page_id", F.explode(checks.tag_pairs(backwards, F.col("slots"))).alias("x"))
+    return found.groupBy("page_id", F.col("x.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Document lines that begin with a letter, so that none opens a block by itself.
@@ -897,9 +908,11 @@ filled AS (SELECT doc_id, min(pos) FILTER (WHERE NOT blank) AS a, max(pos) FILTE
 spaced AS (SELECT doc_id, count(*) FILTER (WHERE blank AND pos BETWEEN a AND b) > 0 AS by_blank FROM flagged JOIN filled USING (doc_id) GROUP BY doc_id),
 islands AS (SELECT *, CASE WHEN by_blank THEN sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY pos) ELSE pos END AS island FROM flagged JOIN spaced USING (doc_id)),
 blocks AS (SELECT doc_id, min(pos) AS pos, string_agg(line, chr(10) ORDER BY pos) AS source FROM islands WHERE NOT blank GROUP BY doc_id, island),
-cuts AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM blocks WHERE regexp_matches(regexp_replace(source, 'https?://[^\\s)\\]<>]+', '', 'g'), '{LETTER}'))
+cuts AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM blocks WHERE regexp_matches(regexp_replace(source, 'https?://[^\\s)\\]<>]+', '', 'g'), '{LETTER}')),
+{mask_sql("SELECT doc_id || '/' || n AS id, source AS s FROM cuts")}
 SELECT doc_id, 's' || lpad(n::VARCHAR, 4, '0') AS id, CASE WHEN fit THEN 'memory' ELSE 'pending' END AS outcome, CASE WHEN fit THEN 'tm' END AS origin
-FROM (SELECT doc_id, n, k.source IS NOT NULL AND NOT regexp_matches(cuts.source, '(^|[^A-Za-z0-9])(tion|the|and)($|[^A-Za-z0-9])') AS fit FROM cuts LEFT JOIN known k ON k.source = cuts.source)""",
+FROM (SELECT doc_id, cuts.n, k.source IS NOT NULL AND NOT regexp_matches(masked.s, '(^|[^A-Za-z0-9])(tion|the|and)($|[^A-Za-z0-9])') AS fit
+  FROM cuts JOIN masked ON masked.id = doc_id || '/' || cuts.n LEFT JOIN known k ON k.source = cuts.source)""",
 )
 def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments that the memory answers; wording in capitals has none of the protected terms that a source may hold, so it is refused there."""
