@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireline.llm import bpe, hash_tree, host_quality, language, packing, pii, secrets, simhash, topk, toxicity
+from quireline.llm.scratch import spread
 
 SHARDS = 8
 #: Of each shard, the one after growth included.
@@ -16,7 +17,7 @@ WEIGHTS = [1.0] * (SHARDS + 1)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

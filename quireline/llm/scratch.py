@@ -106,6 +106,18 @@ def arrow_function(rows: Callable[[list], list], kind: str) -> Callable[..., Col
     return F.arrow_udf(whole, kind)
 
 
+#: Tables of up to so many bytes a core may be dealt anew.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that lies in fewer partitions than half the cores over all of them; any other as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 2 * df.rdd.getNumPartitions() >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES * cores:
+        return df
+    return df.repartition(cores)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df``, a table that is cheap to count, marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
