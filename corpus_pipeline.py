@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireline.llm import host_quality, language, near_copies, packing, pii
-from quireline.llm.scratch import cut, drop, recorded
+from quireline.llm.scratch import cut, drop, recorded, spread
 
 #: Documents of a lower pooled language probability go; an even guess over four languages has 0.25.
 MIN_LANGUAGE_SCORE = 0.3
@@ -103,7 +103,7 @@ STAGES = Pipeline().stages()
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     stages = Pipeline().stages()
     for name, apply in stages[:-1]:
         docs = cut(apply(spark, docs, sf_dir), name)
