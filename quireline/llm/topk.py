@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireline.llm.scratch import cut, drop, recorded
+from quireline.llm.scratch import cut, drop, recorded, small
 
 K, EVERY, SCALE = 20, 20, 64
 #: Rows of a shard, queries that share one tree and rows of the pilot, about; memory of a task follows the first, and ``TOGETHER``.
@@ -47,6 +47,8 @@ LEAF = 128
 MIN_SIDE, WIDE = 1 / 32, 1 / 8
 _EXACT = float(2**53)
 _NULL_ID = np.iinfo(np.int64).max
+#: Leaves that queries come to up to which their table is broadcast; a longer one (of very many lengths) is joined by a shuffle.
+MAX_BROADCAST = 100_000
 #: The leaf of rows whose scores float64 may not hold.
 _WILD = -1
 
@@ -284,7 +286,7 @@ def _dealt(rows: DataFrame, asks: DataFrame, shards: DataFrame, k: int) -> DataF
     """
     key = ["_size", "_leaf"]
     wanted = asks.groupBy(*key).agg(F.count(F.lit(1)).alias("_asks"))
-    units = F.broadcast(cut(wanted.join(shards, key).withColumn("_blocks", F.ceil(F.col("_asks") / BLOCK_ROWS).cast("int")), "units"))  # a row for each leaf at most
+    units = small(cut(wanted.join(shards, key).withColumn("_blocks", F.ceil(F.col("_asks") / BLOCK_ROWS).cast("int")), "units"), MAX_BROADCAST)
     unit = F.xxhash64(*key, "_sub", "_block").alias("_unit")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     offers = rows.join(units, key).withColumns({"_sub": F.pmod(F.xxhash64("_row"), F.col("_subs")).cast("int"), "_block": F.explode(upto("_blocks"))})
@@ -327,7 +329,8 @@ def top_inner_products(embeddings: DataFrame, k: int = K, every: int = EVERY, ve
         balls = rows.groupBy("_size", "_leaf").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("radius"))
         balls = cut(balls, "balls")
         shards = balls.select("_size", "_leaf", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("_subs"))
-        radii = {(r["_size"], r["_leaf"]): r["radius"] for r in balls.collect()}  # a row for each leaf
+        sampled = balls.where(F.col("_size").isin(*known)) if known else balls.limit(0)
+        radii = {(r["_size"], r["_leaf"]): r["radius"] for r in sampled.collect()}  # a row for each leaf, of which there are MAX_LEAVES and one for each sampled length at most
         bounds = spark.sparkContext.broadcast(radii)
         asks = rows.where((F.col("_id") % every == 0) & (F.col("_id") != int(_NULL_ID))).select("_id", "_row", "_size", "_v")
 
@@ -342,7 +345,8 @@ def top_inner_products(embeddings: DataFrame, k: int = K, every: int = EVERY, ve
             def chunk(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
                 for size, at, queries in _by_size(pdf):
                     own = pdf.iloc[at]
-                    names = np.array(sorted(leaf for s, leaf in bounds.value if s == size), dtype=np.int32)
+                    # A length that the sample has missed has one leaf, and the one of wild rows.
+                    names = np.array(sorted(leaf for s, leaf in bounds.value if s == size) or (_WILD, 0), dtype=np.int32)
                     floor = own["_floor"].to_numpy(dtype=np.float64).copy() if not first else np.full(len(own), -np.inf)
                     norms = np.sqrt((queries**2).sum(axis=1))
                     top = np.full((len(own), len(names)), np.inf)
