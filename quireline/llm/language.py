@@ -37,6 +37,8 @@ WINDOW, HIDDEN = 96, 8
 CORE, MARGIN = 256, 32
 #: Training windows for each language, about, for all together and of one document at most.
 QUOTA, SAMPLE, PLACES = 1_200, 100_000, 8
+#: More different labels than this are an error, not languages; none is left out.
+MAX_LANGUAGES = 10_000
 STEPS, BATCH, RATE, SEED = 350, 128, 0.02, 7
 UNKNOWN = "und"
 #: Windows that go through the network together.
@@ -239,7 +241,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quota: int = QUOTA) -> LanguageModel:
     """A model of the labelled rows that are not held out, from at most about ``quota`` short passages a language."""
     seen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    counts = seen.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()  # a row for each language
+    counts = seen.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{lang} has over {MAX_LANGUAGES} values: these are no languages")
     if not counts:
         return LanguageModel.fit([])
     quota = max(1, min(quota, SAMPLE // len(counts)))
