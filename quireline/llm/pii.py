@@ -27,7 +27,7 @@ from __future__ import annotations
 import re
 from array import array
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,6 +50,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"(?<![\w.@+/-])[A-Za-z0-9]++(?:[._@+/-]++[A-Za-z0-9]++)*+(?!\w)")
+_RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._@+/-")
+_STRETCH = re.compile(r"[A-Za-z0-9._@+/-]+")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _BEGINNING = re.compile(r"[A-Za-z][^0-9]*")
 
@@ -93,12 +95,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``_RUN`` that hold a digit: few words do, so each digit is sought and its run found around it."""
+    digit = _DIGIT.search(text)
+    while digit:
+        start = digit.start()
+        while start and text[start - 1] in _RUN_CHARS:
+            start -= 1
+        run = _RUN.match(text, start)
+        if run:
+            yield run.span()
+        digit = _DIGIT.search(text, _STRETCH.match(text, digit.start()).end())
+
+
 def candidates(text: str, base: Sequence[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Identifier-like runs that touch no base span; both lists are walked together by start."""
     spans = sorted((s, e) for _, s, e in base)
     out, at, reached = [], 0, 0
-    for m in _RUN.finditer(text):
-        start, end = m.span()
+    for start, end in runs(text):
         while at < len(spans) and spans[at][0] < end:
             reached = max(reached, spans[at][1])
             at += 1

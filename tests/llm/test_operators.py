@@ -376,6 +376,13 @@ def test_pii_base(text):
     assert pii.base_spans(text) == plain_spans(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aZ09._@+/-é ,٣", max_size=60))
+def test_pii_runs(text):
+    """The runs found around digits are those of one pass over all words that hold a digit."""
+    assert list(pii.runs(text)) == [m.span() for m in pii._RUN.finditer(text) if re.search("[0-9]", m[0])]
+
+
 def test_pii_cards():
     assert pii.base_spans("pay 4111 1111 1111 1111 or 4111-1111-1111-1112") == [("card", 4, 23)]
     assert pii.base_spans("1" * 20000 + " 0001.2.3.4 256.1.1.1") == [("ip", 20001, 20011)]
@@ -493,6 +500,23 @@ def test_topk_brute(spark, monkeypatch, shape):
     assert got == plain_topk([r[0] for r in rows], v) and len(got) == 20 * 46
 
 
+def test_topk_of_many_lengths(spark, monkeypatch):
+    """Vectors of lengths that the sample misses, null ids and wild values beside ordinary ones."""
+    monkeypatch.setattr(topk, "PILOT_ROWS", 4)
+    monkeypatch.setattr(topk, "SAMPLED", 1)
+    draw = np.random.default_rng(8)
+    rows = [(k, draw.integers(-9, 9, 1 + k % 7).astype(float).tolist()) for k in range(300)]
+    rows += [(1000 + 20 * k, [1e300 * (k % 2), 2.0, 3.0]) for k in range(3)]
+    got = sorted(map(tuple, topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)).collect()))
+    expected = []
+    whole = [(i, [int(np.floor(64 * x)) if abs(64 * x) < 2**53 else int(64 * x) for x in v]) for i, v in rows]
+    for i, q in whole:
+        if i % 20 == 0:
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v)))), j) for j, v in whole if j != i and len(v) == len(q))
+            expected += [(i, r + 1, j, -x) for r, (x, j) in enumerate(scored[:20])]
+    assert got == sorted(expected)
+
+
 def test_topk_prunes(spark, monkeypatch):
     """Of well-parted clusters, queries go to few leaves."""
     monkeypatch.setattr(topk, "SHARD_ROWS", 100)
