@@ -116,9 +116,9 @@ class State:
             if value is not None:
                 rows, latest = rows.where(F.col(column) == value), latest.where(F.col(column) == value)
         rows = rows.join(latest, [*KEYS, "_v"], "left_semi")
-        return self._patched(rows, version).drop("_v") if table == "segments" else rows.drop("_v")
+        return self._patched(rows, version, latest).drop("_v") if table == "segments" else rows.drop("_v")
 
-    def _patched(self, segments: DataFrame, version: int | None) -> DataFrame:
+    def _patched(self, segments: DataFrame, version: int | None, latest: DataFrame) -> DataFrame:
         """Segments with the last patch of each field since their document was replaced."""
         for name, kind in FIELDS.items():
             if name not in segments.columns:
@@ -127,7 +127,7 @@ class State:
         if patches is None:
             return segments
         last = [F.max_by(F.struct(F.col(name).alias("x")), F.when(F.array_contains("fields", name), F.col("_v"))).alias(f"_p_{name}") for name in FIELDS]
-        valid = patches.join(segments.select(*KEYS, F.col("_v").alias("_since")).distinct(), list(KEYS)).where("_v > _since")
+        valid = patches.join(latest.withColumnRenamed("_v", "_since"), list(KEYS)).where("_v > _since")
         joined = segments.join(valid.groupBy(*SEGMENT).agg(*last), list(SEGMENT), "left")
         new = {name: F.when(F.col(f"_p_{name}").isNotNull(), F.col(f"_p_{name}.x")).otherwise(F.col(name)) for name in FIELDS}
         return joined.withColumns(new).drop(*[f"_p_{name}" for name in FIELDS])
