@@ -57,19 +57,26 @@ def test_query_against_plain(spark, sf_dir):
 
 
 def test_plain_logistic_regression():
-    """A model's gradient is zero at its end, by the plain sum over rows."""
+    """A model's weights are those of the same steps taken one number after another."""
+    import math
+
     draw = np.random.default_rng(6)
-    y = draw.integers(0, 2, 400)
+    y = draw.integers(0, 2, 200)
     rows = [np.array(sorted({int(b) for b in draw.integers(100, 400, 8)} | ({7} if v and draw.random() < 0.8 else set())), dtype=np.int32) for v in y]
-    owners, buckets = np.repeat(np.arange(400), [len(r) for r in rows]), np.concatenate(rows)
-    model = toxicity.Linear(0).fit(owners, buckets, np.zeros((400, 0)), y.astype(float), np.ones(400))
-    kept = np.flatnonzero(model.sparse)
+    owners, buckets = np.repeat(np.arange(200), [len(r) for r in rows]), np.concatenate(rows)
+    model = toxicity.Linear(0).fit(owners, buckets, np.zeros((200, 0)), y.astype(float), np.ones(200))
+    kept = np.flatnonzero(model.sparse).tolist()
     assert 7 in kept
-    odds = [sum(float(model.sparse[b]) for b in r) + model.bias for r in rows]
-    error = [1 / (1 + np.exp(-o)) - v for o, v in zip(odds, y)]
-    for b in kept:
-        slope = sum(e for e, r in zip(error, rows) if b in r) / 400 + toxicity.PENALTY * float(model.sparse[b])
-        assert abs(slope) < 2e-3
+    w = dict.fromkeys([*kept, "bias"], 0.0)
+    m, v = dict(w), dict(w)
+    for step in range(1, toxicity.STEPS + 1):
+        error = [(1 / (1 + math.exp(-w["bias"] - sum(w[b] for b in r.tolist() if b in w))) - t) / 200 for r, t in zip(rows, y)]
+        slope = {b: sum(e for e, r in zip(error, rows) if b in r) + toxicity.PENALTY * w[b] for b in kept} | {"bias": sum(error)}
+        for k, g in slope.items():
+            m[k] += 0.1 * (g - m[k])
+            v[k] += 0.01 * (g * g - v[k])
+            w[k] -= toxicity.RATE * (m[k] / (1 - 0.9**step)) / (math.sqrt(v[k] / (1 - 0.99**step)) + 1e-9)
+    assert all(abs(float(model.sparse[b]) - w[b]) < 1e-4 for b in kept) and abs(model.bias - w["bias"]) < 1e-4
 
 
 def test_tricky(spark, tricky, nothing, sf_dir):
