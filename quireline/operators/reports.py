@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +31,10 @@ def check_reports(checked: DataFrame, keys: Sequence[str] = ("doc_id", "lang"))
     counts = checked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("segments"), F.count_if(F.coalesce("target", F.lit("")) != "").alias("translated"), having("error").alias("errors"), having("warn").alias("warnings")
     )
-    return counts.join(by_rule, list(keys), "left").withColumn("by_rule", F.coalesce("by_rule", F.create_map().cast("map<string, bigint>")))
+    named = by_rule.select(*[F.col(k).alias(f"_{k}") for k in keys], "by_rule")  # a document or language that is null has rules too
+    same = reduce(and_, [counts[k].eqNullSafe(named[f"_{k}"]) for k in keys])
+    joined = counts.join(named, same, "left").drop(*[f"_{k}" for k in keys])
+    return joined.withColumn("by_rule", F.coalesce("by_rule", F.create_map().cast("map<string, bigint>")))
 
 
 def rollup(documents: DataFrame, project: str = "project", lang: str = "lang") -> DataFrame:
