@@ -1,5 +1,7 @@
 """What is held, shuffled and built for large tables."""
 
+import pyarrow as pa
+
 from quireline.operators import reports
 
 
@@ -11,3 +13,12 @@ def test_reports_of_null_languages(spark):
     rows = [("a", None, "x", [("dnt", "warn", "m")]), (None, "de", "x", [("dnt", "warn", "m")])]
     checked = spark.createDataFrame(rows, "doc_id string, lang string, target string, issues array<struct<rule: string, severity: string, message: string>>")
     assert [r.by_rule for r in reports.check_reports(checked).collect()] == [{"dnt": 1}, {"dnt": 1}]
+
+
+def test_few_rows_are_python_objects_at_a_time():
+    from quireline.functions.arrow import pieces
+
+    array = pa.array(["x" * 1000] * 50 + ["y" * 50_000] + [None] + ["z"] * 50)
+    cut = list(pieces(array, rows=20, most=5_000))
+    assert pa.concat_arrays(cut).equals(array)
+    assert all(len(p) == 1 or len(p) <= 20 and p.nbytes <= 5_000 for p in cut)
