@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+from quireline import queries as catalogue
 from quireline.operators import reports
 
 
@@ -22,3 +23,7 @@ def test_few_rows_are_python_objects_at_a_time():
     cut = list(pieces(array, rows=20, most=5_000))
     assert pa.concat_arrays(cut).equals(array)
     assert all(len(p) == 1 or len(p) <= 20 and p.nbytes <= 5_000 for p in cut)
+
+
+def test_segments_alone_build_no_nodes(spark, sf_dir):
+    assert "seg_id" not in plan(catalogue.document_segments(spark, sf_dir))
