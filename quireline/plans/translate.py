@@ -82,7 +82,7 @@ def translate(segments: DataFrame, chosen: DataFrame, lang: str, provider: Provi
     Neighbours come from the whole document, whatever is chosen of it.
     """
     near = neighbours(segments, document=keys).select(*keys, "id", "before", "after")
-    work = batches(chosen, size, keys).join(near, [*keys, "id"])
+    work = written(batches(chosen, size, keys).join(near, [*keys, "id"]), "work")  # read four times
     first = answers(requests(referenced(work, keys), glossary, style, keys, mode), provider, system, keys)
     gate = accepted(F.col("masked"), F.col("slots"), F.col("text"), lang, operations)
 
@@ -91,7 +91,7 @@ def translate(segments: DataFrame, chosen: DataFrame, lang: str, provider: Provi
         return joined.withColumn("why", F.when(F.col("text").isNull(), "no answer for this id").otherwise(F.col("_g.why"))).withColumn("target", F.col("_g.text")).drop("_g", "text")
 
     base = work.drop("target")
-    once = judged(base, first)
+    once = written(judged(base, first), "judged")
     failed = once.where("target IS NULL").drop("target", "why")
     alone = failed.withColumn("batch", F.xxhash64(*keys, "id"))
     second = answers(requests(referenced(alone, keys), glossary, style, keys, mode), provider, system, keys)
