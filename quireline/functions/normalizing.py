@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,14 +14,22 @@ from quireline.functions.values import CJK, FULLWIDTH, HALF_TO_FULL, WHITE
 _INSIDE = rf"(?<=[^{WHITE}]|\r)"
 
 
+def _widening(half: str, full: str) -> Callable[[Column], Column]:
+    pattern = rf"\Q{half}\E(?<=[{CJK}]\Q{half}\E)(?=[{WHITE}]|\z|[{CJK}])"
+    return lambda c: F.when(c.contains(half), F.regexp_replace(c, pattern, full)).otherwise(c)
+
+
 def full_width(c: Column) -> Column:
-    """Half-width marks after CJK in full width, full-width parentheses around CJK, no blanks at full-width marks."""
+    """Half-width marks after CJK in full width, full-width parentheses around CJK, no blanks at full-width marks.
+
+    Each pattern begins with the mark or blank itself and looks behind it only then, not at every character.
+    """
     for half, full in HALF_TO_FULL:
-        c = F.regexp_replace(c, rf"(?<=[{CJK}])\Q{half}\E(?=[{WHITE}]|\z|[{CJK}])", full)
-    c = F.regexp_replace(c, rf"(?<=[{CJK}])\.(?=[{WHITE}]*\z|[{CJK}])", "。")
-    c = F.regexp_replace(c, rf"\(([^()]*[{CJK}][^()]*)\)", "（$1）")
-    c = F.regexp_replace(c, rf"{_INSIDE}[ \t]+(?=[{FULLWIDTH}])", "")
-    return F.regexp_replace(c, rf"(?<=[{FULLWIDTH}])[ \t]+(?![ \t]*\r?\n)", "")
+        c = let(c, _widening(half, full))
+    c = F.regexp_replace(c, rf"\.(?<=[{CJK}]\.)(?=[{WHITE}]*\z|[{CJK}])", "。")
+    c = F.regexp_replace(c, rf"\(([^(){CJK}]*+[{CJK}][^()]*+)\)", "（$1）")
+    c = F.regexp_replace(c, rf"[ \t](?<=(?:[^{WHITE}]|\r)[ \t])[ \t]*(?=[{FULLWIDTH}])", "")
+    return F.regexp_replace(c, rf"[ \t](?<=[{FULLWIDTH}][ \t])[ \t]*(?![ \t]*\r?\n)", "")
 
 
 def spaced(c: Column) -> Column:

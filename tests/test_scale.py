@@ -1,8 +1,14 @@
 """What is held, shuffled and built for large tables."""
 
+import random
+import re
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quireline import queries as catalogue
+from quireline.functions.normalizing import full_width
+from quireline.functions.values import CJK, FULLWIDTH, HALF_TO_FULL, WHITE
 from quireline.operators import reports
 
 
@@ -27,3 +33,19 @@ def test_few_rows_are_python_objects_at_a_time():
 
 def test_segments_alone_build_no_nodes(spark, sf_dir):
     assert "seg_id" not in plan(catalogue.document_segments(spark, sf_dir))
+
+
+def test_full_width_as_its_plain_patterns(spark):
+    """The patterns that look behind at every character give the same."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("中文ab,;:!?.() \t\n\r，。（") for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    inside = rf"(?<=[^{WHITE}]|\r)"
+    c = F.col("t")
+    for half, full in HALF_TO_FULL:
+        c = F.regexp_replace(c, rf"(?<=[{CJK}])\Q{half}\E(?=[{WHITE}]|\z|[{CJK}])", full)
+    c = F.regexp_replace(c, rf"(?<=[{CJK}])\.(?=[{WHITE}]*\z|[{CJK}])", "。")
+    c = F.regexp_replace(c, rf"\(([^()]*[{CJK}][^()]*)\)", "（$1）")
+    c = F.regexp_replace(F.regexp_replace(c, rf"{inside}[ \t]+(?=[{FULLWIDTH}])", ""), rf"(?<=[{FULLWIDTH}])[ \t]+(?![ \t]*\r?\n)", "")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~full_width(F.col("t")).eqNullSafe(c)).count() == 0
+    assert not re.search(r"regexp_replace\([^,]*, \(\?<=", plan(df.select(full_width(F.col("t")))))  # each begins with a character
