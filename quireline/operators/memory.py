@@ -40,7 +40,8 @@ def keyed(records: DataFrame) -> DataFrame:
 def latest(records: DataFrame, key: tuple[str, ...] = KEY, seq: str = "seq") -> DataFrame:
     """The last record of each key; an aggregate with partial results, not a window, so a hot key is never gathered."""
     rest = [c for c in records.columns if c not in key]
-    return records.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r")).select(*key, "_r.*")
+    # An aggregate for each column: what a reader does not select is not shuffled. All follow the same order, so they take the same record.
+    return records.groupBy(*key).agg(*[F.max_by(c, F.col(seq)).alias(c) for c in rest])
 
 
 def _same(left: DataFrame, right: DataFrame, prefix: str = "_k_") -> Column:
@@ -67,15 +68,25 @@ def lookup(segments: DataFrame, memory: DataFrame) -> DataFrame:
     return found.withColumns({"hit": best["target"], "hit_slots": best["slots"], "hit_origin": origin, "tone": F.col("_tone")}).drop("_hit", "_old", "_old_hash", "_tone", "version")
 
 
+def digest() -> Column:
+    """A record's source, target and slots as 32 bytes (SHA-256); nulls are values of their own."""
+    return F.unhex(F.sha2(F.to_json(F.struct("source", "target", "slots")), 256))
+
+
 def to_commit(segments: DataFrame, memory: DataFrame) -> DataFrame:
-    """Records of translated segments that the memory does not hold just so already."""
+    """Records of translated segments that the memory does not hold just so already.
+
+    Records are compared by ``digest``, so that no wording is shuffled to find out; a memory may bring it as a column.
+    """
     done = segments.where(F.coalesce("target", F.lit("")) != "")
-    fresh = done.select(
+    records = done.select(
         "hash", "context", F.lit(SEGMENTATION_VERSION).alias("version"), "variant", key_tone(F.col("tone")).alias("tone"), "source", "target", "slots"
-    ).distinct()
-    old = memory.select(*[F.col(k).alias("_k_" + k) for k in KEY], F.struct("source", "target", "slots").alias("_held"))
-    same = _same(fresh, old) & F.struct(fresh["source"], fresh["target"], fresh["slots"]).eqNullSafe(old["_held"])
-    return fresh.join(old, same, "left_anti")
+    ).withColumn("_digest", digest())
+    fresh = records.groupBy(*KEY, "_digest").agg(*[F.first(c).alias(c) for c in ("source", "target", "slots")])
+    held = F.col("digest") if "digest" in memory.columns else digest()
+    old = memory.select(*[F.col(k).alias("_k_" + k) for k in KEY], held.alias("_held"))
+    same = _same(fresh, old) & (fresh["_digest"] == old["_held"])
+    return fresh.join(old, same, "left_anti").drop("_digest")
 
 
 def append(records: DataFrame, path: str) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quireline import queries as catalogue
 from quireline.functions.normalizing import full_width
 from quireline.functions.values import CJK, FULLWIDTH, HALF_TO_FULL, WHITE
-from quireline.operators import reports
+from quireline.operators import memory, reports
 
 
 def plan(df):
@@ -35,6 +35,20 @@ def test_segments_alone_build_no_nodes(spark, sf_dir):
     assert "seg_id" not in plan(catalogue.document_segments(spark, sf_dir))
 
 
+def test_commit_shuffles_digests(spark, sf_dir):
+    s = catalogue.document_segments(spark, sf_dir).withColumn("target", F.upper("masked")).drop("slots").withColumnRenamed("originals", "slots")
+    known = catalogue.document_memory(catalogue.document_segments(spark, sf_dir))
+    told = plan(memory.to_commit(s, known).select("hash"))
+    assert "first(source" not in told and not re.search(r"max_by\(\S*(struct|source|target)", told)
+
+
+def test_commit_tells_nulls_apart(spark):
+    made = spark.createDataFrame([("h", None, 1, None, None, "s", "t", None, 1), ("i", None, 1, None, None, "s", "t", [], 1)], memory.RECORD + ", seq int")
+    known = memory.latest(memory.keyed(made))
+    segments = spark.createDataFrame([(h, None, None, None, "s", "t", slots) for h in "hi" for slots in (None, [])], "hash string, context string, variant string, tone string, source string, target string, slots array<string>")
+    assert sorted((r.hash, r.slots) for r in memory.to_commit(segments, known).collect()) == [("h", []), ("i", None)]
+
+
 def test_full_width_as_its_plain_patterns(spark):
     """The patterns that look behind at every character give the same."""
     rng = random.Random(5)
