@@ -26,16 +26,18 @@ def pieces(array: pa.Array, rows: int = ROWS, most: int = BYTES) -> Iterator[pa.
 def by_row(row: Callable, kind: str) -> Callable[[Column], Column]:
     """A column function of ``row``, from a value that is not null to a value of type ``kind``; null stays null.
 
-    A batch is never held whole as Python objects, and its memory is given back when it is done.
+    A batch is never held whole as Python objects, nor its results; its memory is given back when it is done.
     """
+    from pyspark.sql.pandas.functions import ArrowUDFType
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     made = to_arrow_type(_parse_datatype_string(kind))
 
-    def whole(array: pa.Array) -> pa.Array:
-        out = [pa.array([None if x is None else row(x) for x in piece.to_pylist()], type=made) for piece in pieces(array)]
-        pa.default_memory_pool().release_unused()
-        return pa.concat_arrays(out) if out else pa.array([], type=made)
+    def whole(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            for piece in pieces(array):
+                yield pa.array([None if x is None else row(x) for x in piece.to_pylist()], type=made)
+            pa.default_memory_pool().release_unused()
 
-    return F.arrow_udf(whole, kind)
+    return F.arrow_udf(whole, kind, ArrowUDFType.SCALAR_ITER)
